@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .chat import op10_chat
+from .fingerprints import op7_fingerprints
 from .sharding import op1_sharding
+from .toxicity import op6_toxicity
+from .url_filters import op2_url_filters
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_url_filters": op2_url_filters,
+    "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
     "op10_chat": op10_chat,
 }
 
