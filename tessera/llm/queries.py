@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .chat import op10_chat
+from .decontamination import SQL as OP9_SQL
+from .decontamination import op9_decontamination
 from .fingerprints import op7_fingerprints
+from .licenses import op3_licenses
 from .sharding import op1_sharding
 from .toxicity import op6_toxicity
 from .url_filters import op2_url_filters
@@ -12,11 +15,13 @@ from .url_filters import op2_url_filters
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
+    "op3_licenses": op3_licenses,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }
 
 #: Where SQL on DuckDB can express the query; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL}
