@@ -106,8 +106,8 @@ def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -
 
 
 def document_path(source: Column, doc_id: Column) -> Column:
-    """The place of a document in a tree: source, thousands, tens, id."""
-    return F.concat_ws("/", F.coalesce(source, F.lit("none")), F.floor(doc_id / 1000).cast("string"), F.floor(doc_id / 10).cast("string"), doc_id.cast("string"))
+    """The place of a document in a tree: source, ten thousands, thousands, id."""
+    return F.concat_ws("/", F.coalesce(source, F.lit("none")), F.floor(doc_id / 10_000).cast("string"), F.floor(doc_id / 1000).cast("string"), doc_id.cast("string"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from .decontamination import SQL as OP9_SQL
 from .decontamination import op9_decontamination
 from .fingerprints import op7_fingerprints
 from .licenses import op3_licenses
+from .ngram_join import op4_ngram_join
 from .sharding import op1_sharding
 from .toxicity import op6_toxicity
 from .url_filters import op2_url_filters
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
     "op3_licenses": op3_licenses,
+    "op4_ngram_join": op4_ngram_join,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
