@@ -10,6 +10,7 @@ from .fingerprints import op7_fingerprints
 from .licenses import op3_licenses
 from .ngram_join import op4_ngram_join
 from .sharding import op1_sharding
+from .substring_dedup import op8_suffix_dedup
 from .toxicity import op6_toxicity
 from .url_filters import op2_url_filters
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }
