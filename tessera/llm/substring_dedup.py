@@ -20,7 +20,7 @@ rows with equal doc_id and different texts share that id's marks, so doc_id shou
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -123,17 +123,20 @@ def first_contexts(docs: DataFrame) -> DataFrame:
 
 
 def sift(contexts: DataFrame) -> DataFrame:
-    """All repeats of a context marked; the first ones of anchors with several contexts, which go on (marked false)."""
+    """All repeats of a context, marked; and the first ones of anchors with several contexts, which go on (marked false)."""
     names = ["anchor", "context", "doc", "where", "marked"]
-    dealt = contexts.where("not marked").drop("marked").repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "where")
+    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "where")
 
     def run(batches):
         held = None  # the first row of the anchor in hand, while it has one context
         last = (None, None, None, None)
         for batch in batches:
-            anchor, context, doc, where = (np.asarray(batch.column(c)) for c in names[:4])
-            n = len(anchor)
-            if not n:
+            columns = [np.asarray(batch.column(c)) for c in names[:4]]
+            known = np.asarray(batch.column("marked").to_numpy(zero_copy_only=False), bool)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[known]) for v in (*columns, known)], names)
+            anchor, context, doc, where = (v[~known] for v in columns)
+            if not len(anchor):
                 continue
             prior = [np.concatenate([[v[0] if last[k] is None else last[k]], v[:-1]]) for k, v in enumerate((anchor, context, doc, where))]
             new_anchor = anchor != prior[0]
@@ -306,8 +309,7 @@ def sort_contexts(contexts: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Marks ``(doc, lo, hi)`` of rows ``(doc, text)``: every byte between is to go."""
     spark = docs.sparkSession
-    found = cut(first_contexts(docs), "contexts")
-    sifted = cut(sift(found), "sifted")
+    sifted = cut(sift(first_contexts(docs)), "sifted")
     release(spark)
     contexts = cut(fetch(docs, sifted.where("not marked").select("anchor", "doc", "where")), "bytes")
     release(spark)
@@ -317,24 +319,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = strings.groupBy("string").agg(F.min(F.struct("doc", "lo")).alias("first"))
     later = strings.join(first, "string").where("first.doc <> doc or first.lo <> lo").select("doc", "lo", "hi")
     at = F.shiftright("where", 16)
-    wide = lambda df: df.where("marked").select("doc", (at - F.shiftright("where", 8).bitwiseAND(F.lit(255))).alias("lo"), (at + F.col("where").bitwiseAND(F.lit(255))).alias("hi"))
-    return wide(found).unionByName(wide(sifted)).unionByName(sorted_.where("string is null").select("doc", "lo", "hi")).unionByName(later)
+    wide = sifted.where("marked").select("doc", (at - F.shiftright("where", 8).bitwiseAND(F.lit(255))).alias("lo"), (at + F.col("where").bitwiseAND(F.lit(255))).alias("hi"))
+    return wide.unionByName(sorted_.where("string is null").select("doc", "lo", "hi")).unionByName(later)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, kept_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, kept_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])`` of every row of docs(doc_id, text).
 
-    kept: the remaining bytes as text; a character that was cut in two is dropped.
+    kept: the remaining bytes as text; a character that was cut in two is dropped. carry: columns to pass through.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", doc_key(F.col("doc_id"), F.col("text")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carry")] if carry else [])).withColumn("doc", doc_key(F.col("doc_id"), F.col("text")))
     marks = repeats(rows.select("doc", "text"))
     # one row per document: its marks, as many as it has anchors at most
     per_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("m")).select("doc", "m.lo", "m.hi")
-    joined = rows.join(per_doc, "doc", "left").select("doc_id", "text", "lo", "hi")
+    joined = rows.join(per_doc, "doc", "left").select("doc_id", "text", *(F.col("carry")[c].alias(f"carry_{c}") for c in carry), "lo", "hi")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept_text
+    passed = [f"carry_{c}" for c in carry]
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -359,9 +362,11 @@ def dedup(docs: DataFrame, kept_text: bool = False) -> DataFrame:
                 for o, v in zip(out, values, strict=False):
                     o.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(o, t) for o, t in zip(out, types, strict=False))], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(o, t) for o, t in zip(out, types, strict=False)), *(part.column(c) for c in passed)], names + passed)
 
-    return joined.mapInArrow(run, _RESULT + (", kept string" if kept_text else ""))
+    extra = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in passed)
+    done = joined.mapInArrow(run, _RESULT + (", kept string" if kept_text else "") + extra)
+    return done.select(*names, *(F.col(f"carry_{c}").alias(c) for c in carry))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
