@@ -78,8 +78,9 @@ def verify(hits: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with ``leaked``, ``n_items``, ``best_item`` and ``best_share``; one row for each row of docs.
 
-    Null keys are told apart by a hash of their text.
+    Null keys are told apart by a hash of their text; columns of docs with the names of results are replaced.
     """
+    docs = docs.drop("leaked", "n_items", "best_item", "best_share")
     doc_key = F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("h"))
     found = leaks(docs.select(doc_key.alias("doc_key"), F.col(text).alias("text")), benchmark)
     per_doc = found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("share", (-F.col("item_id")).alias("minus"))).alias("top"))
