@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from tessera.lineage import cut, release, scratch_dir, ship
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of frames that Python no longer holds."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["cut", "flat_bytes", "read", "release", "scratch_dir", "ship", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def hex_sha256(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``max_bytes`` of ``column``, one row at least (a long text stays whole)."""
     import numpy as np
