@@ -1,9 +1,11 @@
-"""Cutting the lineage of iterative plans in a folder that all executors share."""
+"""Cutting the lineage of iterative plans in a folder that all executors share, and sending this package to them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +19,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        path = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        context.addPyFile(str(path))
+    context._tessera_sent = True
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

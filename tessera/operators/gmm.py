@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.gaussian import argmax, log_sum_exp, mv_logpdf, normal_logpdf, normal_pdf, squared_distance
+from tessera.lineage import ship
 
 #: Largest K * D * D whose statistics are generated code.
 INLINE = 200
@@ -102,6 +103,7 @@ def _arrow_stats(points: DataFrame, model: Mixture, centre: np.ndarray) -> dict:
         flat = np.concatenate([[ll, n], nk, first.ravel(), second.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["at", "v"])
 
+    ship(points.sparkSession)
     rows = points.select("features").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
     v = np.array([r["v"] for r in rows])
     return {"ll": v[0], "n": int(v[1]), "nk": v[2 : 2 + k], "first": v[2 + k : 2 + k + k * d].reshape(k, d), "second": v[2 + k + k * d :].reshape(k, d, d)}

@@ -55,8 +55,11 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
 
 
 def test_nulls_repeats_carried_columns_and_empty_tables(spark):
-    t = "".join(random.Random(9).choice("abcdef") for _ in range(150))
+    rng = random.Random(9)
+    t = "".join(rng.choice("abcdef") for _ in range(150))
     df = spark.createDataFrame([(1, t, "p"), (1, t, "q"), (None, t, "r"), (2, None, None)], "doc_id long, text string, lang string")
     got = sorted(((r["doc_id"] or 9, r["n_removed"], r["kept"], r["lang"]) for r in sd.dedup(df, kept_text=True, carry=["lang"]).collect()), key=repr)
     assert got == [(1, 0, t, "p"), (1, 0, t, "q"), (2, 0, "", None), (9, 150, "", "r")]
+    same = spark.createDataFrame([(1, "d" * 150), (1, "d" * 150)], "doc_id long, text string")
+    assert [r["n_removed"] for r in sd.dedup(same).collect()] == [149, 149]
     assert sd.dedup(df.limit(0)).count() == 0
