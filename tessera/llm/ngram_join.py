@@ -2,10 +2,11 @@
 
 Documents with the same shingle set are one record. Records are partitioned into groups of similar records (same
 smallest shingle hash, blocks of at most ``GROUP`` members); the matrix tells which groups hold which tokens. A record
-queries only groups that share one of its rarest tokens (of n, the first n - ceil(t n) + 1 in order of a corpus-wide
-frequency sketch: fewer shared tokens than that are impossible between two records of similarity t) and whose sizes
-fit. There the group's token union bounds the overlap of the query with any member; only if it reaches t n is the
-group opened and the members' exact similarities counted. The result is exact whatever the grouping.
+queries only groups that hold ``SHARED`` of its rarest tokens (of n, the first n - ceil(t n) + SHARED in order of a
+corpus-wide frequency sketch: two records of similarity t share that many of those, or all that they must share if
+that is fewer) and whose sizes fit. There the group's token union bounds the overlap of the query with any member;
+only if it reaches t n is the group opened and the members' exact similarities counted. The result is exact whatever
+the grouping.
 
 First each group is joined with itself and with a few pivots of its kind; records that this connects need no further
 comparison with each other, so large groups of near copies are not compared pair by pair. Links come out as a spanning
@@ -23,11 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, read, slices
+from .shared import cut, read, release, slices
 from .shingles import mix, shingle_sets
 
 #: Members of a group, queries that meet it in one task, pivots of a kind, buckets of the frequency sketch.
 GROUP, QUERIES, PIVOTS, BUCKETS = 64, 512, 8, 1 << 16
+#: Rare tokens that a record and a group must share.
+SHARED = 3
+#: Records whose ids are sent to every task that reads texts; more of them meet the texts in an exchange.
+SENT = 500_000
 
 _U = np.uint64
 
@@ -72,7 +77,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 k2.append(int(mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
                 kind.append(int(s[0]))
                 order = np.lexsort((s, common[(s >> _U(48)).astype(np.int64)]))
-                prefix.append(s[order[: m - -(-m * num // den) + 1]])
+                prefix.append(s[order[: m - -(-m * num // den) + SHARED]])
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
@@ -88,6 +93,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("rec"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), k)], pa.binary())], ["rec", "tokens"])
 
+    wanted = cut(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     rows = _rows(docs).withColumnRenamed("doc_id", "rec").join(wanted, "rec").select("rec", "text")
     return rows.mapInArrow(run, "rec long, tokens binary")
 
@@ -178,16 +185,17 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     tokens = grouped.select("rec", "n", "grp", F.explode("prefix").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("token")
     matrix = cut(tokens.join(shared, "token").select("token", "rec", "n", "grp"), "matrix")
-    wanted = grouped.where("size > 1").select("rec").unionByName(matrix.select("rec")).distinct()
-    sets = cut(full_sets(docs, wanted, k), "sets").dropDuplicates(["rec"])
+    release(docs.sparkSession)
     # each group with itself and with the pivots of its kind
     several = grouped.where("size > 1").select("rec", "kind", "grp", "size")
     pivots = several.where(f"size > {GROUP}").groupBy("kind").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rec", F.lit("pivot")), F.ceil(F.col("size") / (4 * PIVOTS))) == 0, F.col("rec")))), 1, PIVOTS).alias("pivots"))
     spread = several.select("kind", "grp").distinct().join(pivots, "kind").select("grp", F.explode("pivots").alias("rec"))
+    sets = cut(full_sets(docs, several.select("rec").distinct(), k), "sets").dropDuplicates(["rec"])
     inside = several.select("grp", "rec").unionByName(spread).distinct().join(sets, "rec")
     first = inside.select("grp", F.lit(0).cast("long").alias("salt"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_query"), "rec", "tokens")
     near = cut(open_groups(first, num, den), "links")
     known = components(near)
+    release(docs.sparkSession)
     # queries that share a rare token with a group of another component
     told = matrix.join(known.withColumnRenamed("node", "rec"), "rec", "left").select("token", "rec", "n", "grp", F.coalesce("component", "rec").alias("comp"))
     told = cut(told, "told").repartition("token")
@@ -197,11 +205,15 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     holds = holds.withColumnRenamed("grp", "to")
     fits = (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den) & (F.col("to") >= F.col("grp"))
     other = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
-    probes = cut(asks.join(holds, "token").where(fits & other).select("rec", F.col("to").alias("grp")).distinct(), "probes")
+    least_shared = lambda n: F.least(F.lit(SHARED), F.ceil(n * num / den))
+    shares = asks.join(holds, "token").where(fits & other).groupBy("rec", "to").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "least")).alias("small"))
+    probes = cut(shares.where(F.col("shared") >= least_shared(F.col("small"))).select("rec", F.col("to").alias("grp")), "probes")
     asked = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("salts"))
     members = grouped.select("grp", "rec").join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_query"), "rec")
     queries = probes.join(asked, "grp").select("grp", F.pmod(F.xxhash64("rec"), F.col("salts")).alias("salt"), F.lit(True).alias("is_query"), "rec")
-    second = members.unionByName(queries).join(sets, "rec")
+    both = cut(members.unionByName(queries), "asked")
+    sets = cut(full_sets(docs, both.select("rec").distinct(), k), "sets").dropDuplicates(["rec"])
+    second = both.join(sets, "rec")
     return near.unionByName(open_groups(second, num, den))
 
 
@@ -213,7 +225,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     same = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rec"))
     owned = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["k1", "k2", "n"]).select("doc_id", "n", "rec"), "owned")
     records = some.join(same, ["k1", "k2", "n"]).where("doc_id = rec").select("rec", "n", "kind", "prefix").dropDuplicates(["rec"])
-    links = record_links(docs, records, k, num, den)
+    links = cut(record_links(docs, records, k, num, den), "links")
+    release(docs.sparkSession)
     found = cut(components(links), "components").withColumnRenamed("node", "rec")
     placed = owned.join(found, "rec", "left").select("doc_id", F.coalesce("component", "rec").alias("component"))
     placed = placed.groupBy("doc_id").agg(F.min("component").alias("component"))
