@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe import op5_bpe
 from .chat import op10_chat
 from .decontamination import SQL as OP9_SQL
@@ -28,4 +29,11 @@ QUERIES = {
 }
 
 #: Where SQL on DuckDB can express the query; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": oracles.url_filters(),
+    "op3_licenses": oracles.licenses(),
+    "op4_ngram_join": oracles.NGRAM_JOIN,
+    "op8_suffix_dedup": oracles.SUBSTRING_DEDUP,
+    "op9_decontamination": OP9_SQL,
+    "op10_chat": oracles.chat(),
+}

@@ -117,4 +117,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], ratio: float
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+    out = judge(read(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
