@@ -5,12 +5,14 @@ Doubles are rounded (6 digits, log likelihoods 4), counts are long, on both side
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.gaussian import normal_logpdf, normal_pdf
+from tessera.lineage import scratch_dir
 from tessera.operators import bench_stats, evaluate, exchange, gmm, graph, linalg, scan
 from tessera.plans import views
 from tessera.plans.views import MAT_SQL, TRIPS_SQL, VEC_SQL
@@ -610,3 +612,114 @@ def model_roundtrip(spark, sf):
     model = spark.createDataFrame([(0, 0.25, [0.5, -1.5], [[1.0, 0.25], [0.25, 2.0]]), (1, 0.75, [2.0, 3.25], [[1.0, 0.25], [0.25, 2.0]])], "component int, weight double, mean array<double>, cov array<array<double>>")
     back = io.model_lines(io.model_of_lines(io.model_lines(model).withColumn("Mean", F.concat(F.lit("  "), F.col("Mean")))))
     return back.select(F.col("Component").alias("component"), F.col("Weight").alias("weight"), F.col("Mean").alias("mean"), F.col("Covariance").alias("cov"))
+
+
+# ---- sources and sinks: written to the shared folder and read back
+
+
+def _place(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {TRIPS_SQL} SELECT s AS src, t AS dst, w AS weight FROM e")
+def io_weighted_edges(spark, sf):
+    io.write_edges(views.trips(spark, sf), path := _place(spark, "edges"))
+    return io.read_edges(spark, path, directed=False)
+
+
+@query(f"WITH {TRIPS_SQL} SELECT s AS src, t AS dst, CAST(1 AS BIGINT) AS weight FROM d WHERE s < 1000040 AND t < 1000040")
+def io_unweighted_edges(spark, sf):
+    lines = views.trips(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("value"))
+    junk = spark.createDataFrame([("# comment",), ("",), ("one two",), ("5",)], "value string")
+    lines.unionByName(junk).write.text(path := _place(spark, "pairs"))
+    return io.read_edges(spark, path, weighted=False, n=1_000_040)
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 4::BIGINT), (1, 2, 1)) t(src, dst, weight)")
+def io_inline_edges(spark, sf):
+    return io.inline_edges(spark, [(0, 1, 4), (1, 2)])
+
+
+@query("WITH d AS (SELECT c_custkey AS vertex, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 2 END AS dist FROM customer) SELECT vertex, dist FROM d")
+def io_distances(spark, sf):
+    d = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("vertex"), F.when(F.pmod("c_custkey", F.lit(3)) > 0, F.col("c_custkey") * 2).alias("dist"))
+    io.write_distances(d, path := _place(spark, "distances"))
+    return io.read_distances(spark, path)
+
+
+@query("SELECT CAST(vec_id AS DOUBLE) AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings")
+def io_features(spark, sf):
+    io.write_features(views.points(spark, sf, 2), path := _place(spark, "features"), 2)
+    return io.read_features(spark, path, ["id", "x", "y"]).select(*[F.get("features", i).alias(c) for i, c in enumerate(("id", "x", "y"))])
+
+
+@query("SELECT vec_id AS id, CAST(label AS INT) AS label FROM embeddings")
+def io_labels(spark, sf):
+    io.write_labels(views.points(spark, sf, 1), path := _place(spark, "labels"))
+    return io.read_labels(spark, path)
+
+
+@query("SELECT vec_id AS index, CAST(label AS INT) AS predicted_cluster FROM embeddings")
+def io_predictions(spark, sf):
+    io.write_predictions(views.points(spark, sf, 1).withColumnRenamed("label", "pred"), path := _place(spark, "predictions"))
+    return io.read_predictions(spark, path)
+
+
+@query("SELECT event_id AS id, value AS x FROM events")
+def io_dataset(spark, sf):
+    io.save_dataset(views.points_1d(spark, sf), path := _place(spark, "dataset"))
+    return io.load_dataset(spark, path)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(_TRACE)) + ") t(iteration, log_likelihood)")
+def io_trace(spark, sf):
+    io.write_trace(_trace(spark), path := _place(spark, "trace"))
+    return io.read_trace(spark, path)
+
+
+@query("SELECT o_orderstatus AS stage, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS seconds, round(100.0 * count(*) / (SELECT count(*) FROM orders), 3) AS pct FROM orders GROUP BY 1")
+def io_timing(spark, sf):
+    o = views.table(spark, sf, "orders")
+    n = o.count()
+    t = o.groupBy(F.col("o_orderstatus").alias("stage")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.lit(100.0) * F.count(F.lit(1)) / n, 3).alias("pct"))
+    io.write_timing(t, path := _place(spark, "timing"))
+    return io.read_timing(spark, path)
+
+
+@query("SELECT 1 AS procs, l_linenumber AS run, CAST(l_suppkey AS INT) AS rank, max(l_quantity) AS seconds FROM lineitem GROUP BY 2, 3")
+def io_rank_log(spark, sf):
+    t = views.table(spark, sf, "lineitem").groupBy(F.lit(1).alias("procs"), F.col("l_linenumber").alias("run"), F.col("l_suppkey").cast("int").alias("rank")).agg(F.max("l_quantity").alias("seconds"))
+    io.write_rank_log(t, path := _place(spark, "ranks"))
+    return io.read_rank_log(spark, path)
+
+
+@query("SELECT n_nationkey AS rank, n_name AS value FROM nation")
+def io_messages(spark, sf):
+    rows = views.table(spark, sf, "nation").select(F.col("n_nationkey").alias("rank"), F.col("n_name").alias("value"))
+    io.write_messages(rows.coalesce(1), path := _place(spark, "messages"))
+    return io.read_messages(spark, path)
+
+
+# ---- generators and small analyses
+
+
+@query()
+def random_graph(spark, sf):
+    return graph.random_graph(spark, 200, 0.05)
+
+
+@query()
+def synthetic_mixture(spark, sf):
+    return gmm.synthetic(spark, _start(3), 2000)
+
+
+@query("SELECT l_returnflag AS flag, round(sum(l_tax * l_extendedprice) / sum(l_extendedprice) * 100, 6) AS pct FROM lineitem GROUP BY 1")
+def transfer_overhead(spark, sf):
+    t = views.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum(F.col("l_tax") * F.col("l_extendedprice")).alias("moved"), F.sum("l_extendedprice").alias("total"))
+    return t.select("flag", F.round(bench_stats.share("moved", "total"), 6).alias("pct"))
+
+
+@query(f"WITH {TRIPS_SQL}, x AS (SELECT s, t, min(w) AS w FROM e WHERE s < 1000008 AND t < 1000008 AND (s < 9 OR t < 9) GROUP BY 1, 2) SELECT s AS src, string_agg(t || ':' || w, ',' ORDER BY t) AS neighbours FROM x GROUP BY 1")
+def weighted_adjacency(spark, sf):
+    e = graph.collapse(graph.undirect(views.trips(spark, sf)).where("src < 1000008 and dst < 1000008 and (src < 9 or dst < 9)"))
+    return graph.weighted_adjacency(e).select("src", F.concat_ws(",", F.transform("neighbours", lambda v: F.concat_ws(":", v["dst"], v["weight"]))).alias("neighbours"))

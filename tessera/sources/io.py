@@ -158,8 +158,8 @@ def read_rank_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
-    """``(rank, value)`` in order of rank."""
-    messages.orderBy("rank").select("value").write.mode("overwrite").text(path)
+    """``(rank, value)`` in order of rank, as one file (a row per rank)."""
+    messages.orderBy("rank").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
 def read_messages(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
