@@ -164,7 +164,7 @@ def write_messages(messages: DataFrame, path: str) -> None:
 
 def read_messages(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
     """Lines in file order, or with ``length`` the slices of that many characters that ranks would read."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     if length is None:
         return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("rank", "value"))
     ranks = F.sequence(F.lit(0), F.ceil(F.length("value") / length).cast("int") - 1)
