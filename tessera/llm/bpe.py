@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, ship
 
-#: Words whose tokens are remembered in a worker; the table is emptied when it is full.
-REMEMBERED = 400_000
+#: Words whose tokens a worker remembers: the last so many, and the so many before.
+REMEMBERED = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -93,7 +93,10 @@ class Merges:
 class Transducer:
     """Feed the symbols of one word; tokens come out once they are stable."""
 
-    def __init__(self, merges: Merges, every: int = 256):
+    #: Symbols between two looks at what is stable.
+    EVERY = 256
+
+    def __init__(self, merges: Merges, every: int = EVERY):
         self.m, self.every = merges, every
         self.held = ""  # symbols from the last emitted boundary on
         self.last: list[str] = [""]  # the last token of each prefix of held
@@ -149,6 +152,32 @@ class Transducer:
         yield t
 
 
+def short_word(m: Merges, symbols: str) -> list[str]:
+    """What the transducer emits for a word that ends before anything has to be emitted early."""
+    end, longest = len(symbols) - 1, m.longest
+    halves, known, apart = m.halves, m.known, m.apart
+    last = [""]
+    for stop in range(1, end + 2):
+        suffix = m.suffix if stop > end else ""
+        for start in range(max(0, stop - longest), stop):
+            t = symbols[start:stop] + suffix if suffix else symbols[start:stop]
+            if t in halves or start == stop - 1:
+                if not start:
+                    break
+                left = last[start]
+                fits = known.get((left, t))
+                if fits or (fits is None and apart(left, t)):
+                    break
+        else:
+            raise ValueError("the merge list splits no text so")
+        last.append(t)
+    out, place = [], end + 1
+    while place:
+        out.append(last[place])
+        place -= len(symbols) - start if place > end else len(last[place])
+    return out[::-1]
+
+
 class Decoder:
     """Ids to text, piece by piece."""
 
@@ -178,15 +207,17 @@ class Decoder:
 
 
 class _Table(dict):
-    """Remembered results of a function; emptied when full."""
+    """Remembered results of a function, in two generations: when one is full the older is dropped."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.older.get(key)
+        self[key] = out = self.make(key) if out is None else out
         return out
 
 
@@ -207,8 +238,13 @@ class Codec:
         self.strings = Decoder(self.spec).strings
         self.shown = _Table(self._show)
 
-    def tokens(self, word: str) -> Iterator[str]:
-        symbols = "".join(self.alphabet[b] for b in word.encode("utf-8", "surrogatepass"))
+    def tokens(self, word: str) -> Iterable[str]:
+        symbols = "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
+        if len(symbols) < Transducer.EVERY:
+            return short_word(self.merges, symbols)
+        return self._long(symbols)
+
+    def _long(self, symbols: str) -> Iterator[str]:
         one = Transducer(self.merges)
         yield from one.feed(symbols[:-1])
         yield from one.finish(symbols[-1])
@@ -248,14 +284,27 @@ class Codec:
         return " ".join(map(self.shown.__getitem__, packed))
 
 
+_codecs: dict[bytes, Codec] = {}
+
+
+def codec_of(source: bytes) -> Codec:
+    """The codec of a tokeniser file; a worker keeps the last one, with the words it remembers, for its next tasks."""
+    key = hashlib.sha256(source).digest()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(source)
+    return _codecs[key]
+
+
 def encode_table(df: DataFrame, key: str, text: str, tokenizer: str, ids: bool = False) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256[, ids])`` of every row's whole text; a map, no exchange."""
+    ship(df.sparkSession)
     with open(tokenizer, "rb") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())
     names = [("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int64()))] if ids else [])
 
     def run(batches):
-        codec = Codec(source.value)
+        codec = codec_of(source.value)
         for batch in batches:
             out = []
             for k, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
