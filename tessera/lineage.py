@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,6 +43,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_watched(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut``, with aggregates of the rows that are taken while they are written (no second pass over them)."""
+    seen = Observation()
+    table = cut(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return table, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that Python no longer holds."""
     import gc

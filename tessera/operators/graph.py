@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.lineage import cut
+from tessera.lineage import cut, cut_watched
 
 # ---- shapes
 
@@ -69,8 +69,9 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 
 def _checked(edges: DataFrame) -> DataFrame:
-    edges = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight")), "edges")
-    if not edges.where("weight < 0").isEmpty():
+    typed = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"))
+    edges, seen = cut_watched(typed, "edges", least=F.min("weight"))
+    if seen["least"] is not None and seen["least"] < 0:
         raise ValueError("weights must not be negative")
     return edges
 
@@ -88,18 +89,18 @@ def bfs_levels(edges: DataFrame, source: int) -> DataFrame:
     while True:
         level += 1
         reached = frontier.join(pairs, frontier.vertex == pairs.src).select(F.col("dst").alias("vertex")).distinct()
-        frontier = cut(reached.join(visited, "vertex", "left_anti").withColumn("level", F.lit(level).cast("long")), "bfs")
-        if frontier.isEmpty():
+        frontier, seen = cut_watched(reached.join(visited, "vertex", "left_anti").withColumn("level", F.lit(level).cast("long")), "bfs", n=F.count(F.lit(1)))
+        if not seen["n"]:
             return visited
         visited = visited.unionByName(frontier)
 
 
-def _relax(dist: DataFrame, frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(vertex, dist, improved)`` after offering the frontier's distances along the edges."""
+def _relax(dist: DataFrame, frontier: DataFrame, edges: DataFrame, **watch: Column) -> tuple[DataFrame, dict]:
+    """``(vertex, dist, improved)`` after offering the frontier's distances along the edges, and the watched aggregates."""
     offers = frontier.select("vertex", "dist").join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex"), (F.col("dist") + F.col("weight")).alias("offer")).groupBy("vertex").agg(F.min("offer").alias("offer"))
     joined = dist.select("vertex", "dist").join(offers, "vertex", "full_outer")
     better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
-    return cut(joined.select("vertex", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("improved")), "dist")
+    return cut_watched(joined.select("vertex", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("improved")), "dist", **watch)
 
 
 def sssp(edges: DataFrame, source: int, delta: int | None = None) -> DataFrame:
@@ -109,27 +110,27 @@ def sssp(edges: DataFrame, source: int, delta: int | None = None) -> DataFrame:
     that width: light edges of the least bucket are relaxed until it is stable, then its heavy edges once. The result
     does not depend on delta.
     """
+    if delta is not None and delta <= 0:
+        raise ValueError("delta must be positive")
     edges = _checked(edges)
     dist = _start(edges, source, "dist").withColumn("improved", F.lit(True))
+    n_of = lambda condition: F.count(F.when(condition, 1))
     if delta is None:
-        while True:
-            dist = _relax(dist, dist.where("improved"), edges)
-            if dist.where("improved").isEmpty():
-                return dist.select("vertex", "dist")
-    if delta <= 0:
-        raise ValueError("delta must be positive")
+        seen = {"n": 1}
+        while seen["n"]:
+            dist, seen = _relax(dist, dist.where("improved"), edges, n=n_of(F.col("improved")))
+        return dist.select("vertex", "dist")
     light, heavy = edges.where(F.col("weight") <= delta), edges.where(F.col("weight") > delta)
-    done = -1
-    while True:
-        waiting = dist.where(bucket(F.col("dist"), delta) > done).agg(F.min(bucket(F.col("dist"), delta))).first()[0]
-        if waiting is None:
-            return dist.select("vertex", "dist")
-        inside = bucket(F.col("dist"), delta) == waiting
-        dist = _relax(dist, dist.where(inside), light)
-        while not (again := dist.where(inside & F.col("improved"))).isEmpty():
-            dist = _relax(dist, again, light)
-        dist = _relax(dist, dist.where(inside), heavy)
-        done = waiting
+    place = bucket(F.col("dist"), delta)
+    now = 0
+    while now is not None:
+        inside = place == now
+        dist, seen = _relax(dist, dist.where(inside), light, n=n_of(inside & F.col("improved")))
+        while seen["n"]:
+            dist, seen = _relax(dist, dist.where(inside & F.col("improved")), light, n=n_of(inside & F.col("improved")))
+        dist, seen = _relax(dist, dist.where(inside), heavy, then=F.min(F.when(place > now, place)))
+        now = seen["then"]
+    return dist.select("vertex", "dist")
 
 
 # ---- results
