@@ -57,14 +57,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000
     """Verified ``(doc_key, item_id, share, n)``: the best window's share of equal words, for rows of ``(doc_key, text)``."""
     items = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("words"))
     seeds = places(items, ["item_id"]).select("seed", "item_id", F.col("words").alias("item"), F.col("at").alias("q"))
-    if seeds.count() <= broadcast_rows:
-        seeds = F.broadcast(seeds)
     mine = places(docs.select("doc_key", word_hashes(F.col("text")).alias("words")), ["doc_key"])
-    shift = F.col("at") - F.col("q")
-    # the document's words that face the item's, null beyond the document's ends
-    facing = F.transform(F.col("item"), lambda w, i: F.when(shift + i >= 0, F.get(F.col("words"), shift + i)))
-    hits = mine.join(seeds, "seed").select("doc_key", "item_id", shift.alias("shift"), F.col("item"), facing.alias("facing"))
-    return verify(hits)
+    shift = (F.col("at") - F.col("q")).alias("shift")
+    if seeds.count() <= broadcast_rows:
+        hits = mine.join(F.broadcast(seeds), "seed").select("doc_key", "item_id", "item", "words", shift)
+    else:
+        met = mine.select("doc_key", "seed", "at").join(seeds.select("seed", "item_id", "q"), "seed").select("doc_key", "item_id", shift).distinct()
+        texts = docs.select("doc_key", word_hashes(F.col("text")).alias("words"))
+        hits = met.join(items.withColumnRenamed("words", "item"), "item_id").join(texts, "doc_key")
+    # the document's words that face the item's are cut out at once (the generator keeps the optimiser from doing it
+    # later), so that no hit carries its document along
+    skip = F.greatest(-F.col("shift"), F.lit(0))
+    part = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item") - skip)
+    one = hits.select("doc_key", "item_id", F.explode(F.array(F.struct("item", skip.alias("skip"), part.alias("part")))).alias("h"))
+    facing = F.transform("h.item", lambda w, i: F.when(i >= F.col("h.skip"), F.get(F.col("h.part"), i - F.col("h.skip"))))
+    return verify(one.select("doc_key", "item_id", F.col("h.item").alias("item"), facing.alias("facing")))
 
 
 def verify(hits: DataFrame) -> DataFrame:
@@ -80,22 +87,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str) ->
 
     Null keys are told apart by a hash of their text; columns of docs with the names of results are replaced.
     """
-    docs = docs.drop("leaked", "n_items", "best_item", "best_share")
-    doc_key = F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("h"))
-    found = leaks(docs.select(doc_key.alias("doc_key"), F.col(text).alias("text")), benchmark)
+    docs = docs.drop("leaked", "n_items", "best_item", "best_share").withColumn("_h", F.when(F.col(key).isNull(), F.xxhash64(text)))
+    found = leaks(docs.select(F.struct(F.col(key).alias("k"), F.col("_h").alias("h")).alias("doc_key"), F.col(text).alias("text")), benchmark)
     per_doc = found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("share", (-F.col("item_id")).alias("minus"))).alias("top"))
-    per_doc = per_doc.select(F.col("doc_key.k").alias("_k"), F.col("doc_key.h").alias("_h"), "n_items", (-F.col("top.minus")).alias("best_item"), F.col("top.share").alias("best_share"))
-    same = docs[key].eqNullSafe(per_doc["_k"]) & (docs[key].isNotNull() | (F.xxhash64(docs[text]) == per_doc["_h"]))
-    out = docs.join(per_doc, same, "left").drop("_k", "_h")
+    per_doc = per_doc.select(F.col("doc_key.k").alias("_k"), F.col("doc_key.h").alias("_g"), "n_items", (-F.col("top.minus")).alias("best_item"), F.col("top.share").alias("best_share"))
+    out = docs.join(per_doc, docs[key].eqNullSafe(per_doc["_k"]) & docs["_h"].eqNullSafe(per_doc["_g"]), "left").drop("_k", "_g", "_h")
     return out.withColumn("leaked", F.col("n_items").isNotNull()).withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("long"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = leaks(docs.select(F.col("doc_id").alias("doc_key"), "text"), read(spark, sf_dir, "benchmark"))
-    per_doc = found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("share", (-F.col("item_id")).alias("minus"))).alias("top"))
-    out = docs.select("doc_id").join(per_doc, docs["doc_id"] == per_doc["doc_key"], "left")
-    return out.select("doc_id", F.col("n").isNotNull().alias("leaked"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), (-F.col("top.minus")).alias("best_item"), F.col("top.share").alias("best_share"))
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"), "doc_id", "text").select("doc_id", "leaked", "n_items", "best_item", "best_share")
 
 
 def _sql() -> str:
