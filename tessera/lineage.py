@@ -40,7 +40,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessera_path = path
+    return table
 
 
 def cut_watched(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -50,6 +52,14 @@ def cut_watched(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
     return table, seen.get
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` gave, when a loop has written the next one; other frames are left."""
+    if place := getattr(df, "_tessera_path", None):
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that Python no longer holds."""
     import gc

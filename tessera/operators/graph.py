@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.lineage import cut, cut_watched
+from tessera.lineage import cut, cut_watched, discard
 
 # ---- shapes
 
@@ -100,7 +100,9 @@ def _relax(dist: DataFrame, frontier: DataFrame, edges: DataFrame, **watch: Colu
     offers = frontier.select("vertex", "dist").join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex"), (F.col("dist") + F.col("weight")).alias("offer")).groupBy("vertex").agg(F.min("offer").alias("offer"))
     joined = dist.select("vertex", "dist").join(offers, "vertex", "full_outer")
     better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
-    return cut_watched(joined.select("vertex", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("improved")), "dist", **watch)
+    out = cut_watched(joined.select("vertex", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("improved")), "dist", **watch)
+    discard(dist)
+    return out
 
 
 def sssp(edges: DataFrame, source: int, delta: int | None = None) -> DataFrame:
