@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.lineage import cut, release, scratch_dir, ship
+from tessera.lineage import cut, discard, release, scratch_dir, ship
 
-__all__ = ["cut", "flat_bytes", "read", "release", "scratch_dir", "ship", "slices"]
+__all__ = ["cut", "discard", "flat_bytes", "read", "release", "scratch_dir", "ship", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import cut, discard, read
 
 #: (verdict, host, path) of the query's rules.
 RULES = [
@@ -96,7 +96,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
     score = start.withColumnRenamed("seed", "score")
     for _ in range(rounds):
         moved = score.join(flow, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share") * damping).alias("score"))
-        score = cut(moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")), "score")
+        old, score = score, cut(moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")), "score")
+        discard(old)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return score.groupBy("host").agg(of("trust"), of("distrust"))
 
