@@ -222,9 +222,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     docs = docs.select("doc_id", "text")
     marks = cut(signatures(docs, k, num, den), "signatures")
     some = marks.where("n > 0 and doc_id is not null")
-    same = some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rec"))
+    # written, so that the joins below exchange both sides and a large group of copies can be split
+    same = cut(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rec")), "same")
     owned = cut(some.select("doc_id", "n", "k1", "k2").join(same, ["k1", "k2", "n"]).select("doc_id", "n", "rec"), "owned")
-    records = some.join(same, ["k1", "k2", "n"]).where("doc_id = rec").select("rec", "n", "kind", "prefix").dropDuplicates(["rec"])
+    records = some.join(same.withColumnRenamed("rec", "doc_id"), ["k1", "k2", "n", "doc_id"]).select(F.col("doc_id").alias("rec"), "n", "kind", "prefix").dropDuplicates(["rec"])
     links = cut(record_links(docs, records, k, num, den), "links")
     release(docs.sparkSession)
     found = cut(components(links), "components").withColumnRenamed("node", "rec")
