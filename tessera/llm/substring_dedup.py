@@ -1,11 +1,11 @@
 """Exact removal of repeated byte strings across a corpus by suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (smaller doc_id, or same document and
-earlier start). Every such string holds an anchor: of its ``GRAM``-byte strings the one with the smallest hash. Equal
+earlier start). Every such string has an anchor: of its ``GRAM``-byte strings the one with the smallest hash. Equal
 strings have equal anchors at equal places, so only texts around equal anchors need to be compared:
 
-1. Each scan task finds the anchors of its whole texts with a hash of all that a string through the anchor can cover
-   (its context), marks repeats of a context within the task and sends on the first of each.
+1. Each scan task finds the anchors of its whole texts with a hash of all the strings that have the anchor (its
+   context), marks repeats of a context within the task and sends on the first of each.
 2. Sorted by anchor and context, all but the first of a context are marked. Anchors with several contexts go on.
 3. Their contexts' bytes are fetched, cut down to what occurs in two contexts, and sorted by a suffix array (linear
    grouping); neighbours that share LENGTH bytes are one string, whose earliest start stays. Anchors with more than
@@ -38,8 +38,6 @@ GRAM = 40
 BLOCK, ARRAY_BYTES, HELD = 1024, 1 << 16, 2_000_000
 
 _U = np.uint64
-_LEFT = LENGTH - GRAM
-
 
 def _slide(v: np.ndarray, width: int, pick) -> np.ndarray:
     size = 1
@@ -69,10 +67,19 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     grams = _span_hash(prefix, begin, begin + GRAM)
     window = LENGTH - GRAM + 1
     least = _slide(grams, window, np.minimum)
-    # a place is an anchor if it is the least of some window that holds it
+    # runs of windows with the same least hash, and the places inside them that have it
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    stops = np.append(starts[1:], len(least))
     padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
     at = np.flatnonzero(grams == _slide(padded, window, np.maximum)[: len(grams)])
-    left, right = np.minimum(at, _LEFT), np.minimum(n - at, LENGTH)
+    first, end = np.searchsorted(at, starts), np.searchsorted(at, stops + window - 1)
+    count = end - first
+    run = np.repeat(np.arange(len(starts)), count)
+    place = at[np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+    mine = grams[place] == least[starts[run]]
+    run, at = run[mine], place[mine]
+    left = at - np.maximum(at - window + 1, starts[run])
+    right = np.minimum(at, stops[run] - 1) + LENGTH - at
     context = mix(_span_hash(prefix, at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
     return grams[at], context, at, left, right
 
@@ -125,7 +132,9 @@ def first_contexts(docs: DataFrame) -> DataFrame:
 def sift(contexts: DataFrame) -> DataFrame:
     """All repeats of a context, marked; and the first ones of anchors with several contexts, which go on (marked false)."""
     names = ["anchor", "context", "doc", "where", "marked"]
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "where")
+    # what is marked already only passes through, anywhere
+    salt = F.when(F.col("marked"), F.pmod(F.xxhash64("doc", "where"), F.lit(1024)) + 1).otherwise(0)
+    dealt = contexts.repartition(F.col("anchor"), salt).sortWithinPartitions("anchor", "context", "doc", "where")
 
     def run(batches):
         held = None  # the first row of the anchor in hand, while it has one context
@@ -213,7 +222,8 @@ class _Sorter:
         self.bytes = 0
 
     def block(self, rows: list[tuple[int, int, int, bytes]], split: bool) -> None:
-        """rows: (doc, at, left, bytes) of one anchor."""
+        """rows: (doc, at, left, bytes) of one anchor; a place that came twice (a repeated row) counts once."""
+        rows = list({(r[0], r[1]): r for r in rows}.values())
         flat = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
         ends = np.cumsum([len(r[3]) for r in rows])
         starts = ends - [len(r[3]) for r in rows]
