@@ -26,15 +26,16 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read, ship
+from .shared import read, ship, slices
 
 #: Words whose tokens a worker remembers: the last so many, and the so many before.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -301,24 +302,28 @@ def encode_table(df: DataFrame, key: str, text: str, tokenizer: str, ids: bool =
     ship(df.sparkSession)
     with open(tokenizer, "rb") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())
-    names = [("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int64()))] if ids else [])
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
 
     def run(batches):
         codec = codec_of(source.value)
-        for batch in batches:
-            out = []
-            for k, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+        for part in slices(batches, "text", 4 << 20):
+            counts, packed, digests, decoded = [], [], [], []
+            for t in part.column("text"):
                 words = codec.encode(t.as_py())
-                packed = b"".join(words)
-                row = {"key": k, "n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(), "decoded_sha256": hashlib.sha256(codec.decode(words).encode("utf-8", "surrogatepass")).hexdigest()}
+                row = b"".join(words)
+                counts.append(len(row) // 4)
+                digests.append(hashlib.sha256(row).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(words).encode("utf-8", "surrogatepass")).hexdigest())
                 if ids:
-                    row["ids"] = list(struct.unpack(f"<{len(packed) // 4}I", packed))
-                out.append(row)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema(names))
+                    packed.append(row)
+            columns = [part.column("key"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
+            if ids:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if ids else "")
+    schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
