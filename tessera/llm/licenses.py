@@ -45,32 +45,35 @@ def _hinted(text: Column) -> Column:
 
 
 def _terms(statements: DataFrame) -> DataFrame:
-    """``(statement, term, tf)`` of distinct statements."""
+    """``(sid, term, tf)`` of distinct statements (sid, statement)."""
     words = F.regexp_extract_all("statement", F.lit(TOKEN), F.lit(0))
-    return statements.select("statement", F.explode(words).alias("term")).groupBy("statement", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    return statements.select("sid", F.explode(words).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
 def statement_licences(lines: DataFrame, wholes: DataFrame) -> DataFrame:
-    """``(statement, licence, cosine)``: the most alike template of every distinct statement (lower case).
+    """``(sid, licence, cosine)``: the most alike template of every distinct statement (lower case).
 
-    lines: ``(statement, n)`` with n rows each, which also give the IDF; wholes: ``(statement)``.
+    lines: ``(sid, statement, n)`` with n rows each, which also give the IDF; wholes: ``(sid, statement)``. sid stands
+    for the statement, so that no term carries its text along.
     """
     spark = lines.sparkSession
-    templates = spark.createDataFrame([(name, text.lower()) for name, text in TEMPLATES], "licence string, statement string")
-    known = _terms(templates.select("statement")).join(templates, "statement").select("licence", "term", "tf")
-    seen = _terms(lines.select("statement")).join(lines, "statement").select("term", "n").unionByName(known.select("term", F.lit(1).cast("long").alias("n")))
+    lines = cut(lines, "lines")
+    templates = spark.createDataFrame([(name, text.lower()) for name, text in TEMPLATES], "sid string, statement string")
+    known = cut(_terms(templates).withColumnRenamed("sid", "licence"), "templates")
+    terms = cut(_terms(lines.select("sid", "statement").unionByName(wholes.select("sid", "statement")).dropDuplicates(["sid"])), "terms")
+    seen = terms.join(lines.select("sid", "n"), "sid").select("term", "n").unionByName(known.select("term", F.lit(1).cast("long").alias("n")))
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).select((F.col("all") + len(TEMPLATES)).alias("all"))
-    idf = seen.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(total)).select("term", F.ln(1 + F.col("all") / F.col("df")).alias("idf"))
+    idf = cut(seen.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(total)).select("term", F.ln(1 + F.col("all") / F.col("df")).alias("idf")), "idf")
     rarest = F.ln(1 + F.col("all"))
-    mine = _terms(lines.select("statement").unionByName(wholes.select("statement")).distinct()).join(idf, "term", "left").crossJoin(F.broadcast(total)).select("statement", "term", (F.col("tf") * F.coalesce("idf", rarest)).alias("w"))
+    mine = terms.join(idf, "term", "left").crossJoin(F.broadcast(total)).select("sid", "term", (F.col("tf") * F.coalesce("idf", rarest)).alias("w"))
     theirs = known.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("v"))
     norms = theirs.groupBy("licence").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm_v"))
-    lengths = mine.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_w"))
+    lengths = mine.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_w"))
     # the templates are fixed values: a few hundred terms
-    dots = mine.join(F.broadcast(theirs), "term").groupBy("statement", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = dots.join(lengths, "statement").join(F.broadcast(norms), "licence").select("statement", "licence", F.round(F.col("dot") / F.col("norm_w") / F.col("norm_v"), 6).alias("cosine"))
-    ordered = cosine.groupBy("statement").agg(F.max("cosine").alias("cosine"), F.min_by("licence", F.struct((-F.col("cosine")).alias("c"), "licence")).alias("licence"))
-    return ordered.select("statement", "licence", "cosine")
+    dots = mine.join(F.broadcast(theirs), "term").groupBy("sid", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosine = dots.join(lengths, "sid").join(F.broadcast(norms), "licence").select("sid", "licence", F.round(F.col("dot") / F.col("norm_w") / F.col("norm_v"), 6).alias("cosine"))
+    ordered = cosine.groupBy("sid").agg(F.max("cosine").alias("cosine"), F.min_by("licence", F.struct((-F.col("cosine")).alias("c"), "licence")).alias("licence"))
+    return ordered.select("sid", "licence", "cosine")
 
 
 def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -> DataFrame:
@@ -83,11 +86,12 @@ def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -
     narrow = files.select("file_id", path.alias("path"), F.regexp_replace(path, r"[^/]*$", "").alias("dir"))
     spoken = files.select("file_id", path.alias("path"), low.alias("text")).where(_hinted(F.col("text")))
     spoken = cut(spoken, "spoken")
+    sid = F.sha2(F.col("statement").cast("binary"), 256).alias("sid")
     per_file = spoken.select("file_id", "path", F.col("text").alias("statement"), F.lit(True).alias("whole"))
     per_line = spoken.select("file_id", "path", F.explode(F.split("text", "\n")).alias("statement"), F.lit(False).alias("whole")).where(_hinted(F.col("statement")))
-    lines = per_line.groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
-    licences = cut(statement_licences(lines, per_file.select("statement").distinct()), "licences")
-    told = per_file.unionByName(per_line).join(licences, "statement")
+    lines = per_line.select(sid, "statement").groupBy("sid").agg(F.first("statement").alias("statement"), F.count(F.lit(1)).alias("n"))
+    licences = cut(statement_licences(lines, per_file.select(sid, "statement")), "licences")
+    told = per_file.unionByName(per_line).select("file_id", "path", "whole", sid).join(licences, "sid")
     first = told.groupBy("file_id", "path").agg(
         F.max(F.when(~F.col("whole"), F.col("cosine"))).alias("cosine"),
         F.min(F.when(~F.col("whole") & (F.col("cosine") >= header_least), F.struct((-F.col("cosine")).alias("c"), "licence"))).alias("own"),

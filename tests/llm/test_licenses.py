@@ -30,8 +30,8 @@ def test_headers_files_and_inheritance(spark):
 
 def test_cosines_against_the_definition(spark):
     lines = {"licensed under the mit license": 5, "copyright 2020 someone": 2, "apache license version 2.0 licence": 1}
-    df = spark.createDataFrame(list(lines.items()), "statement string, n long")
-    got = {r["statement"]: (r["licence"], r["cosine"]) for r in licenses.statement_licences(df, df.select("statement")).collect()}
+    df = spark.createDataFrame(list(lines.items()), "statement string, n long").selectExpr("statement as sid", "statement", "n")
+    got = {r["sid"]: (r["licence"], r["cosine"]) for r in licenses.statement_licences(df, df.select("sid", "statement")).collect()}
     terms = lambda s: Counter(re.findall(licenses.TOKEN, s))
     known = {name: terms(text.lower()) for name, text in licenses.TEMPLATES}
     total = sum(lines.values()) + len(known)
