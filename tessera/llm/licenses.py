@@ -6,6 +6,10 @@ the templates). A file whose best header reaches ``header_least`` has its own li
 ``file_least`` is a licence file and covers its directory; a file without its own licence takes that of the nearest
 ancestor directory that is covered.
 
+Where no line reaches that, the first licence that an SPDX line names counts, or else the best of two to ``LINES``
+adjoining lines (compared as one statement) and of the full texts and standard headers in ``licence_texts`` that the
+file holds by its word shingles. A file that consists of such a text is a licence file too.
+
 Defined results: null and empty texts have no statement, but inherit; a null path is a file at the root; of several
 templates the most alike wins, ties go to the first name; of several licence files in a directory likewise; repeated
 rows each get their row.
@@ -13,6 +17,9 @@ rows each get their row.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +44,16 @@ HINTS = ("licen", "copyright", "public domain", "spdx")
 TOKEN = r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*"
 
 
+#: Words of a shingle of full texts; adjoining lines that are compared as one statement, at most.
+SHINGLE, LINES = 5, 4
+
+
+def full_texts() -> list[tuple[int, str, str]]:
+    """``(number, licence, text)``: full licence texts and the standard headers of several lines, in lower case."""
+    files = sorted((Path(__file__).resolve().parent / "licence_texts").glob("*.txt"))
+    return [(i, f.name.removesuffix(".txt").removesuffix(".header"), f.read_text().lower()) for i, f in enumerate(files)]
+
+
 def _hinted(text: Column) -> Column:
     out = F.lit(False)
     for hint in HINTS:
@@ -76,6 +93,51 @@ def statement_licences(lines: DataFrame, wholes: DataFrame) -> DataFrame:
     return ordered.select("sid", "licence", "cosine")
 
 
+def text_licences(wholes: DataFrame, block_least: float = 0.8) -> DataFrame:
+    """``(sid, licence, held, covered)``: the licence whose text the statement (sid, statement) holds, wrapped in any way.
+
+    held: the share of the licence's shingles that the statement has, ``block_least`` or more; covered: the share of
+    the statement's own shingles, by place, that are of that text.
+    """
+    known = []
+    for number, licence, text in full_texts():
+        words = re.findall(TOKEN, text)
+        every = {" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        known += [(number, licence, len(every), s) for s in sorted(every)]
+    # fixed values: about ten thousand shingles
+    known = cut(wholes.sparkSession.createDataFrame(known, "number int, licence string, size int, shingle string"), "texts")
+    # written, so that words are taken apart once and not at every shingle
+    words = cut(wholes.dropDuplicates(["sid"]).select("sid", F.regexp_extract_all("statement", F.lit(TOKEN), F.lit(0)).alias("words")), "words")
+    starts = F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(1), F.size("words") - SHINGLE + 1)).otherwise(F.array().cast("array<int>"))
+    shingles = words.select("sid", F.transform(starts, lambda i: F.concat_ws(" ", *[F.get("words", i - 1 + k) for k in range(SHINGLE)])).alias("all"))
+    mine = shingles.select("sid", F.size("all").alias("of"), F.explode("all").alias("shingle")).join(F.broadcast(known), "shingle")
+    once = mine.groupBy("sid", "number", "licence", "size", "of", "shingle").agg(F.count(F.lit(1)).alias("places"))
+    each = once.groupBy("sid", "number", "licence", "size", "of").agg(F.count(F.lit(1)).alias("n"), F.sum("places").alias("places"))
+    each = each.where(F.col("n") >= block_least * F.col("size")).select("sid", "licence", F.round(F.col("n") / F.col("size"), 6).alias("held"), F.round(F.col("places") / F.col("of"), 6).alias("covered"))
+    best = each.groupBy("sid").agg(F.min(F.struct((-F.col("covered")).alias("c"), (-F.col("held")).alias("h"), "licence")).alias("b"))
+    return best.select("sid", "b.licence", (-F.col("b.h")).alias("held"), (-F.col("b.c")).alias("covered"))
+
+
+def spdx_licence(text: Column) -> Column:
+    """The first known licence that an SPDX line of the (lower case) text names."""
+    names = {name.lower(): name for name, _ in TEMPLATES}
+    known = "|".join(re.escape(n) for n in sorted(names))
+    found = F.regexp_extract(text, rf"spdx-license-identifier:[^\n]*?(?<![\w.-])({known})(?:-only|-or-later|\+)?(?![\w.-])", 1)
+    out = F.lit(None).cast("string")
+    for low, name in names.items():
+        out = F.when(found == low, name).otherwise(out)
+    return out
+
+
+def wrapped_lines(spoken: DataFrame) -> DataFrame:
+    """``(file_id, path, statement)``: every two to LINES adjoining lines that speak of a licence, as one line."""
+    lines = cut(spoken.select("file_id", "path", F.split("text", "\n").alias("lines")), "split")
+    sizes = F.array(*[F.lit(k) for k in range(2, LINES + 1)])
+    starts = F.sequence(F.lit(1), F.size("lines"))
+    joined = F.flatten(F.transform(sizes, lambda k: F.transform(F.filter(starts, lambda i: i + k - 1 <= F.size("lines")), lambda i: F.concat_ws(" ", F.slice("lines", i, k)))))
+    return lines.select("file_id", "path", F.explode(F.filter(joined, _hinted)).alias("statement"))
+
+
 def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -> DataFrame:
     """Licences of files ``(file_id, path, text)``: one row each.
 
@@ -97,6 +159,21 @@ def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -
         F.min(F.when(~F.col("whole") & (F.col("cosine") >= header_least), F.struct((-F.col("cosine")).alias("c"), "licence"))).alias("own"),
         F.min(F.when(F.col("whole") & (F.col("cosine") >= file_least), F.struct((-F.col("cosine")).alias("c"), "licence"))).alias("file"),
     )
+    first = cut(first, "first")
+    # where no line is a notice by itself: adjoining lines, SPDX lines and texts of several lines
+    rest = cut(spoken.join(first.where("own is not null").select("file_id", "path"), ["file_id", "path"], "left_anti"), "rest")
+    wrapped = cut(wrapped_lines(rest).select("file_id", "path", sid, "statement"), "wrapped")
+    alike = statement_licences(lines, wrapped.select("sid", "statement")).where(F.col("cosine") >= header_least)
+    score = lambda c: F.struct((-F.col(c)).alias("c"), "licence")
+    blocks = wrapped.select("file_id", "path", "sid").join(alike, "sid").groupBy("file_id", "path").agg(F.min(score("cosine")).alias("block"))
+    texts = text_licences(per_file.select(sid, "statement"))
+    held = per_file.select("file_id", "path", sid).join(texts, "sid").groupBy("file_id", "path").agg(F.min(score("held")).alias("text"), F.min(F.when(F.col("covered") >= file_least, score("held"))).alias("text_file"))
+    named = rest.select("file_id", "path", spdx_licence(F.col("text")).alias("licence")).where("licence is not null").groupBy("file_id", "path").agg(F.min(F.struct(F.lit(-1.0).alias("c"), "licence")).alias("spdx"))
+    keys = ["file_id", "path"]
+    first = spoken.select(*keys).distinct().join(first, keys, "left").join(named, keys, "left").join(blocks, keys, "left").join(held, keys, "left")
+    other = F.coalesce("spdx", F.least("block", "text"))
+    cosine = F.when(F.col("own").isNull() & other.isNotNull(), -other["c"]).otherwise(F.col("cosine"))
+    first = first.select(*keys, cosine.alias("cosine"), F.coalesce("own", other).alias("own"), F.coalesce("text_file", "file").alias("file"))
     own = cut(first.select("file_id", "path", "cosine", F.col("own.licence").alias("licence"), "file"), "own")
     covers = own.where("file is not null").select(F.regexp_replace("path", r"[^/]*$", "").alias("from_dir"), "file").groupBy("from_dir").agg(F.min("file").alias("file")).select("from_dir", F.col("file.licence").alias("covered"))
     # the nearest covered ancestor, once per directory

@@ -49,3 +49,28 @@ def test_cosines_against_the_definition(spark):
         best = min((-round(sum(w.get(t, 0) * x for t, x in weigh(c).items()) / norm(w) / norm(weigh(c)), 6), name) for name, c in known.items())
         if best[0]:
             assert got[s] == (best[1], -best[0])
+
+
+def test_full_texts_spdx_lines_and_wrapped_headers(spark):
+    full = {name: text for _, name, text in licenses.full_texts() if len(text) > 800}
+    comment = lambda text: "\n".join(f" * {line}" for line in text.splitlines())
+    apache = next(text for _, name, text in licenses.full_texts() if name == "Apache-2.0" and len(text) < 800)
+    rows = [
+        (1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + full["MIT"]),
+        (2, "m/x.py", "print()"),
+        (3, "a/LICENSE", full["Apache-2.0"].upper()),
+        (4, "g/COPYING", " ".join(full["GPL-3.0"].split())),
+        (5, "g/y.py", ""),
+        (6, "q/spdx.c", "/* SPDX-License-Identifier: (ISC OR Apache-2.0) */\nint x;"),
+        (7, "q/later.c", "// SPDX-License-Identifier: GPL-3.0-or-later"),
+        (8, "r/none.c", "// SPDX-License-Identifier: MIT-0"),
+        (9, "q/wrapped.c", "int a;\n# Released under\n# the MIT\n# License.\nint b;\n"),
+        (10, "q/apache.c", comment(apache) + "\n" + "int some code here;\n" * 200),
+        (11, "q/bsd.c", comment("Copyright 2020 Jane Doe\n" + full["BSD-3-Clause"]) + "\n" + "".join(f"int v{i} w{i} x{i} y{i} z{i};\n" for i in range(400)).translate(str.maketrans("0123456789", "abcdefghij"))),
+    ]
+    df = spark.createDataFrame(rows, "file_id long, path string, text string")
+    got = {r["file_id"]: (r["licence"], r["is_file"], r["inherited"]) for r in licenses.scan(df).collect()}
+    assert got == {
+        1: ("MIT", True, None), 2: (None, False, "MIT"), 3: ("Apache-2.0", True, None), 4: ("GPL-3.0", True, None), 5: (None, False, "GPL-3.0"), 6: ("Apache-2.0", False, None),
+        7: ("GPL-3.0", False, None), 8: (None, False, None), 9: ("MIT", False, None), 10: ("Apache-2.0", False, None), 11: ("BSD-3-Clause", False, None),
+    }
