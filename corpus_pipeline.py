@@ -10,7 +10,7 @@ labelled share as its toxicity. Rows that repeat a doc_id and text stay together
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_table
@@ -20,16 +20,22 @@ from tessera.llm.shared import cut, read, scratch_dir
 from tessera.llm.substring_dedup import dedup
 from tessera.llm.toxicity import toxicity
 
-#: Documents with this score or more go.
-TOXIC = 0.5
+#: Documents with this score or more go: the operator's own threshold.
+TOXIC = 0.3
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxic_key(doc_id: Column, text: Column) -> Column:
+    """Rows of an id go together; a row without one goes by its own score, which its text decides."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(text, F.lit("")), 256)))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    worst = scores.where(F.col("score") >= TOXIC).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(worst, "doc_id", "left_anti").select(*COLUMNS)
+    key = toxic_key(F.col("doc_id"), F.col("text"))
+    scores = toxicity(docs.withColumn("key", key), read(spark, sf_dir, "labels"), F.lit(True), key="key")
+    worst = scores.where(F.col("score") >= TOXIC).select("key").distinct()
+    return docs.withColumn("key", key).join(worst, "key", "left_anti").select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

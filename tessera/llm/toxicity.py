@@ -73,10 +73,14 @@ def marking_terms(docs: DataFrame, sample: DataFrame, n_terms: int, z_least: flo
     return [r["term"] for r in best.collect()]
 
 
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``(doc_id, n_words, at, tf)`` of every document: its marking terms' numbers and counts. A map over whole texts."""
+def term_counts(docs: DataFrame, terms: list[str], key: str | None = None) -> DataFrame:
+    """``(doc_id, n_words, at, tf)`` of every document: its marking terms' numbers and counts. A map over whole texts.
+
+    key: a string column to pass through.
+    """
     number = {t: i for i, t in enumerate(terms)}
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("at", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
+    passed = [key] if key else []
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in passed), ("n_words", pa.int64()), ("at", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
 
     def run(batches):
         known: dict[str, tuple[int, ...]] = {}
@@ -96,10 +100,10 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
                 ns.append(len(words))
                 ats.append(sorted(tf))
                 tfs.append([tf[i] for i in ats[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ats, schema.field("at").type), pa.array(tfs, schema.field("tf").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c).cast(pa.string()) for c in passed), pa.array(ns, pa.int64()), pa.array(ats, schema.field("at").type), pa.array(tfs, schema.field("tf").type)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, at array<int>, tf array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), *passed, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, {''.join(f'{c} string, ' for c in passed)}n_words long, at array<int>, tf array<int>")
 
 
 class BlockMaxIndex:
@@ -174,12 +178,16 @@ class BlockMaxIndex:
         return min(1.0, max(0.0, top / bottom)), [e[0] for _, i in near for e in self.entries[i][:3]][:5]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, n_terms: int = 512, z_least: float = 5.0, nearest: int = 15) -> DataFrame:
-    """``(doc_id, score, evidence)`` of every row of docs. ``learn``: which labelled rows may be learnt from."""
-    docs = docs.select("doc_id", "text")
+def toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, n_terms: int = 512, z_least: float = 5.0, nearest: int = 15, key: str | None = None) -> DataFrame:
+    """``(doc_id, score, evidence)`` of every row of docs. ``learn``: which labelled rows may be learnt from.
+
+    key: a string column of docs that comes out beside doc_id.
+    """
+    passed = [key] if key else []
+    docs = docs.select("doc_id", *passed, "text")
     sample = cut(sample_labels(labels, learn, per_class), "labels").coalesce(1)
     terms = marking_terms(docs, sample, n_terms, z_least)
-    counts = cut(term_counts(docs, terms), "counts")
+    counts = cut(term_counts(docs, terms, key), "counts")
     total = counts.count()
     df = {r["t"]: r["count"] for r in counts.select(F.explode("at").alias("t")).groupBy("t").count().collect()}
     idf = np.array([math.log(1 + (1 + total) / (1 + df.get(i, 0))) for i in range(len(terms))])
@@ -205,9 +213,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, n
                     score, why = known[key]
                 scores.append(score)
                 evidence.append(why)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *passed)), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", *passed, "score", "evidence"])
 
-    return counts.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    return counts.mapInArrow(run, f"doc_id long, {''.join(f'{c} string, ' for c in passed)}score double, evidence array<long>")
 
 
 def held_out(doc_id):

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -35,3 +37,23 @@ def test_stages_keep_clean_documents_and_catch_the_rest(spark, tmp_path):
     want = library.encode(" ".join(docs[7]), add_special_tokens=False).ids
     assert got[7]["ids"] == want and got[7]["n_tokens"] == len(want)
     assert got[84]["n_tokens"] < 0.7 * got[83]["n_tokens"] and got[200]["n_tokens"] == 0
+
+
+def test_toxic_stage_uses_the_operators_threshold_and_each_rows_own_score(spark, tmp_path, monkeypatch):
+    docs = [(1, "t"), (2, "clean"), (2, "t"), (None, "t"), (None, "clean"), (None, None), (3, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = F.when(F.col("text") == "t", 0.4).otherwise(0.1)
+    monkeypatch.setattr(corpus_pipeline, "toxicity", lambda d, *_, key=None: d.select("doc_id", *([key] if key else []), score.alias("score")))
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.without_toxic(spark, df, str(tmp_path)).collect())
+    assert got == Counter([(None, "clean"), (None, None), (3, None)])
+
+
+def test_null_ids_are_scored_and_dropped(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda bad: " ".join([*(rng.choice("abcdefghij") + "%x" % rng.randrange(1 << 30) for _ in range(40)), *(["idiot", "scum", "moron"] if bad else [])])
+    rows = [(i, words(i >= 60)) for i in range(80)] + [(None, words(True)), (None, words(False))]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.without_toxic(spark, df, str(tmp_path)).collect()}
+    assert got == {*rows[:60], rows[81]}
