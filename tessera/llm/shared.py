@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.lineage import cut, discard, release, scratch_dir, ship
 
-__all__ = ["cut", "discard", "flat_bytes", "read", "release", "scratch_dir", "ship", "slices"]
+__all__ = ["cut", "discard", "flat_bytes", "kept", "map_arrow", "read", "release", "scratch_dir", "ship", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +18,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system: workers stay alive between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_kept: dict[str, object] = {}
+_stage = ""
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a task of ``map_arrow`` leaves in its worker for the next task of the same map; another map's task drops it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def begin(stage: str) -> None:
+    global _stage
+    if stage != _stage:
+        _stage = stage
+        if _kept:
+            _kept.clear()
+            tidy()
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``; the package goes to the executors first, and a task that ends leaves no memory behind."""
+    ship(df.sparkSession)
+    stage = uuid.uuid4().hex
+
+    def task(batches):
+        begin(stage)
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(task, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``max_bytes`` of ``column``, one row at least (a long text stays whole)."""
     import numpy as np

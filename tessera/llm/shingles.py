@@ -32,6 +32,30 @@ def mix(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> _U(31))
 
 
+class Words:
+    """The words of a batch of texts: runs of bytes where ``inside``, which end with their text.
+
+    starts, stops: their places; first: the number of each text's first word, and one more.
+    """
+
+    def __init__(self, low: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
+        n = len(low)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        outside = ~inside
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= outside[:-1] | edge[1:n]
+        ends[:-1] &= outside[1:] | edge[1:n]
+        self.starts, self.stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.first = np.searchsorted(self.starts, offsets)
+        up, self._down = powers(n + 1)
+        self._prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((low.astype(np.uint64) + _U(1)) * up[:n], out=self._prefix[1:])
+
+    def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix((self._prefix[stops] - self._prefix[starts]) * self._down[starts] + (stops - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (null: empty).
 
@@ -39,22 +63,9 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     words but one at least has its whole sequence as its one shingle.
     """
     flat, offsets = flat_bytes(texts)
-    n = len(flat)
     low = flat + ((flat >= 65) & (flat <= 90)) * np.uint8(32)
-    blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    inside = ~blank
-    begins = inside.copy()
-    begins[1:] &= blank[:-1] | edge[1:n]
-    ends = inside
-    ends[:-1] &= blank[1:] | edge[1:n]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + _U(1)) * up[:n], out=prefix[1:])
-    words = mix((prefix[stops] - prefix[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    first = np.searchsorted(starts, offsets)
+    found = Words(low, offsets, ~((flat == 32) | ((flat >= 9) & (flat <= 13))))
+    words, first = found.hashes(found.starts, found.stops), found.first
     grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):
         grams = mix(grams * _U(0x2545F4914F6CDD1D) + words[j : j + len(grams)])
