@@ -85,3 +85,35 @@ def test_connected_components(spark):
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     joined = {0: 0, 10: 10, 20: 20, 30: 0}
     assert got == {**{i: joined[i // 10 * 10] for i in range(40)}, 80: 80, 90: 80}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(60))
+    a, b = text(), text()
+    near = lambda t: t + " more"
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (9, text()), (9, None), (9, "x y z u"), (11, "x y z u"), (12, "")]
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r[0], r[2]) for r in ngram_join.jaccard_components(df, 3, 9, 10).collect()}
+        assert got == {(5, 5), (7, 5), (8, 5), (9, 9), (11, 9), (12, 12)}
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b), (None, c), (None, c), (None, c + " y"), (4, d), (4, d), (None, d), (None, None), (5, ""), (5, ""), (None, " ")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, "k") for r in order], "doc_id long, text string, component string")
+        got = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(df).collect())
+        kept = [k for k in got if k[0] is None and k[1] and k[1].strip()]
+        assert len(kept) == 1 and kept[0][1] in (c, c + " y")
+        assert got - Counter(kept) == Counter([(1, a), (1, b), (4, d), (None, None), (5, ""), (5, ""), (None, " ")])
+
+
+def test_a_long_text(spark):
+    rng = random.Random(8)
+    words = ["w%d" % rng.randrange(10**7) for _ in range(500_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:480_000])), (3, " ".join(words[:300_000]))], "doc_id long, text string")
+    assert {r[0]: r[2] for r in ngram_join.jaccard_components(df, 3, 9, 10).collect()} == {1: 1, 2: 1, 3: 3}
