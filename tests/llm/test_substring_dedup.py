@@ -63,3 +63,37 @@ def test_nulls_repeats_carried_columns_and_empty_tables(spark):
     same = spark.createDataFrame([(1, "d" * 150), (1, "d" * 150)], "doc_id long, text string")
     assert [r["n_removed"] for r in sd.dedup(same).collect()] == [149, 149]
     assert sd.dedup(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abcdefgh") for _ in range(150))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (None, c), (None, b + c)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"] or 9, r["n_bytes"], r["n_removed"]) for r in sd.dedup(df).collect())
+        assert got == [(1, 150, 0), (2, 150, 0), (2, 150, 150), (3, 150, 150), (4, 150, 0), (9, 150, 150), (9, 300, 300)]
+
+
+def test_frequent_anchor_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sd, "MET", 2)
+    monkeypatch.setattr(sd, "BLOCK", 6)
+    monkeypatch.setattr(sd, "SENT", 0)
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh") for _ in range(260))
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(260)] = "Z"
+        rows.append((i, "".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r[0]: tuple(r)[1:] for r in sd.dedup(df).collect()} == brute(rows)
+
+
+def test_a_long_text(spark):
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000)) * 2
+    df = spark.createDataFrame([(1, long), (2, long[1000:5000])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in sd.dedup(df).collect()} == {1: 2_500_000, 2: 4000}
