@@ -7,10 +7,12 @@ item and document and hash them; equal hashes are hits, and around each hit the
 The masks find every alignment within the tolerance (``tests/llm`` proves it by enumeration), so nothing is missed.
 
 A document's hashes are made, probed and verified inside one scan while the seeds of the benchmark are small enough
-to broadcast (``broadcast_rows``, checked); beyond that they meet in an exchange. Only verified alignments are summed.
+to broadcast (``broadcast_bytes``, checked); beyond that they meet in an exchange. Only verified alignments are summed.
 
 Defined results: null and empty texts, and documents of fewer than five words, leak nothing; items of fewer than five
-words are evidence of nothing; repeated rows each get their row; among equal alignments the smallest item is named.
+words are evidence of nothing; a row is judged by its own text, whatever other rows have its key, and rows without a
+key too; repeated rows each get their row; texts of any length count whole; among equal alignments the smallest item is
+named; columns of docs with the names of results are replaced; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -53,13 +55,14 @@ def places(df: DataFrame, keys: list[str]) -> DataFrame:
     return seeds.where("seed is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Verified ``(doc_key, item_id, share, n)``: the best window's share of equal words, for rows of ``(doc_key, text)``."""
     items = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("words"))
     seeds = places(items, ["item_id"]).select("seed", "item_id", F.col("words").alias("item"), F.col("at").alias("q"))
     mine = places(docs.select("doc_key", word_hashes(F.col("text")).alias("words")), ["doc_key"])
     shift = (F.col("at") - F.col("q")).alias("shift")
-    if seeds.count() <= broadcast_rows:
+    size = seeds.agg(F.sum(8 * F.size("item") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
         hits = mine.join(F.broadcast(seeds), "seed").select("doc_key", "item_id", "item", "words", shift)
     else:
         met = mine.select("doc_key", "seed", "at").join(seeds.select("seed", "item_id", "q"), "seed").select("doc_key", "item_id", shift).distinct()
@@ -83,15 +86,12 @@ def verify(hits: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with ``leaked``, ``n_items``, ``best_item`` and ``best_share``; one row for each row of docs.
-
-    Null keys are told apart by a hash of their text; columns of docs with the names of results are replaced.
-    """
-    docs = docs.drop("leaked", "n_items", "best_item", "best_share").withColumn("_h", F.when(F.col(key).isNull(), F.xxhash64(text)))
+    """``docs`` with ``leaked``, ``n_items``, ``best_item`` and ``best_share``; one row for each row of docs."""
+    docs = docs.drop("leaked", "n_items", "best_item", "best_share").withColumn("_h", F.xxhash64(text))
     found = leaks(docs.select(F.struct(F.col(key).alias("k"), F.col("_h").alias("h")).alias("doc_key"), F.col(text).alias("text")), benchmark)
     per_doc = found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_items"), F.max(F.struct("share", (-F.col("item_id")).alias("minus"))).alias("top"))
     per_doc = per_doc.select(F.col("doc_key.k").alias("_k"), F.col("doc_key.h").alias("_g"), "n_items", (-F.col("top.minus")).alias("best_item"), F.col("top.share").alias("best_share"))
-    out = docs.join(per_doc, docs[key].eqNullSafe(per_doc["_k"]) & docs["_h"].eqNullSafe(per_doc["_g"]), "left").drop("_k", "_g", "_h")
+    out = docs.join(per_doc, docs[key].eqNullSafe(per_doc["_k"]) & (docs["_h"] == per_doc["_g"]), "left").drop("_k", "_g", "_h")
     return out.withColumn("leaked", F.col("n_items").isNotNull()).withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("long"))
 
 

@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
     got = {r["doc_id"]: (r["leaked"], r["n_items"]) for r in dc.decontaminate(df, bench, "doc_id", "text").collect()}
     assert got == want
     keyed = df.selectExpr("doc_id as doc_key", "text")
-    far = {(r["doc_key"], r["item_id"]) for r in dc.leaks(keyed, bench, broadcast_rows=0).collect()}
+    far = {(r["doc_key"], r["item_id"]) for r in dc.leaks(keyed, bench, broadcast_bytes=0).collect()}
     assert far == {(r["doc_key"], r["item_id"]) for r in dc.leaks(keyed, bench).collect()}
 
 
@@ -69,3 +69,20 @@ def test_null_keys_repeats_and_empty_tables(spark):
     assert got == [(0, False, None), (0, True, 4), (1, True, 4), (1, True, 4)]
     assert dc.decontaminate(df.limit(0), bench, "doc_id", "text").count() == 0
     assert dc.decontaminate(df, bench.limit(0), "doc_id", "text").where("leaked").count() == 0
+
+
+def test_a_row_is_judged_by_its_own_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"x {item} y"), (1, "a clean text of some words that says nothing at all"), (None, item), (None, "another clean text of words that says nothing"), (1, None)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, leaked string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["leaked"] for r in dc.decontaminate(df, items, "doc_id", "text").collect()}
+    assert got == {r: r[1] is not None and item in r[1] for r in rows}
+
+
+def test_exchange_of_seeds(spark):
+    item = " ".join("w%d" % i for i in range(40))
+    docs = spark.createDataFrame([(1, f"x {item[20:110]} y"), (2, "nothing of it here at all")], "doc_key long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (0, 1 << 20):
+        assert [r["doc_key"] for r in dc.leaks(docs, items, broadcast_bytes=most).collect()] == [1]
