@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import CONTROLS
 from .licenses import HINTS, TEMPLATES, TOKEN
-from .url_filters import RULES
+from .url_filters import DAMPING, DIGITS, RULES
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -13,7 +13,8 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def url_filters(rounds: int = 8, damping: float = 0.85) -> str:
+def url_filters(rounds: int = 42) -> str:
+    """Enough rounds for more digits than are compared: DAMPING ** rounds < 1e-12."""
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in rules) + " END"
@@ -23,17 +24,19 @@ def url_filters(rounds: int = 8, damping: float = 0.85) -> str:
         f"p AS (SELECT page_id, html, {_LOWER_AZ.format("coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r)",
         f"q AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS rv FROM p)",
         "h AS (SELECT host, avg(CASE WHEN rv = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN rv = 'block' THEN 1.0 ELSE 0.0 END) AS d FROM q WHERE host <> '' GROUP BY 1)",
-        "l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*[\"'']?(?:[a-z]+:)?//([^/?#\"''\\s<>]+)', 1)) AS dst FROM p WHERE host <> '')",
-        "s AS (SELECT a.host AS src, b.host AS dst FROM h a JOIN h b ON b.host = regexp_extract(a.host, '^[^.]+\\.(.+\\..+)$', 1))",
-        f"e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT src, {_LOWER_AZ.format('dst')} AS dst FROM l UNION ALL SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s) WHERE src <> dst GROUP BY 1, 2)",
-        "f AS (SELECT src AS host, dst AS nxt, 't' AS k, w / sum(w) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT dst, src, 'd', w / sum(w) OVER (PARTITION BY dst) FROM e)",
-        "z AS (SELECT host, 't' AS k, t / (SELECT sum(t) FROM h) AS x FROM h WHERE t > 0 UNION ALL SELECT host, 'd', d / (SELECT sum(d) FROM h) FROM h WHERE d > 0)",
+        f"l AS (SELECT src, {_LOWER_AZ.format('dst')} AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*[\"'']?(?:[a-z]+:)?//([^/?#\"''\\s<>]+)', 1)) AS dst FROM p WHERE host <> ''))",
+        "a AS (SELECT string_split(host, '.') AS w FROM (SELECT host FROM h UNION SELECT dst FROM l))",
+        "s AS (SELECT DISTINCT array_to_string(w[i:], '.') AS src, array_to_string(w[i + 1:], '.') AS dst FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) > 2))",
+        "e AS MATERIALIZED (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT * FROM l UNION ALL SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s) WHERE src <> dst GROUP BY 1, 2)",
+        "f AS MATERIALIZED (SELECT src AS host, dst AS nxt, 't' AS k, w / sum(w) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT dst, src, 'd', w / sum(w) OVER (PARTITION BY dst) FROM e)",
+        "z AS MATERIALIZED (SELECT host, 't' AS k, t / (SELECT sum(t) FROM h) AS x FROM h WHERE t > 0 UNION ALL SELECT host, 'd', d / (SELECT sum(d) FROM h) FROM h WHERE d > 0)",
         "x0 AS (SELECT host, k, x FROM z)",
     ]
     for i in range(rounds):
-        steps.append(f"x{i + 1} AS (SELECT host, k, sum(x) AS x FROM (SELECT f.nxt AS host, f.k, x * share * {damping} AS x FROM x{i} JOIN f USING (host, k) UNION ALL SELECT host, k, x * {1 - damping!r} FROM z) GROUP BY 1, 2)")
-    steps.append(f"v AS (SELECT host, coalesce(sum(CASE WHEN k = 't' THEN x END), 0) AS t, coalesce(sum(CASE WHEN k = 'd' THEN x END), 0) AS d FROM x{rounds} GROUP BY 1)")
-    return f"WITH {', '.join(steps)} SELECT page_id, q.host, path, rule, coalesce(rv, CASE WHEN round(d, 9) > round(t, 9) THEN 'block' WHEN d IS NOT NULL THEN 'allow' END, 'allow') AS verdict, round(coalesce(t, 0), 9) AS trust, round(coalesce(d, 0), 9) AS distrust FROM q LEFT JOIN v ON v.host = q.host"
+        steps.append(f"x{i + 1} AS MATERIALIZED (SELECT host, k, sum(x) AS x FROM (SELECT f.nxt AS host, f.k, x * share * {DAMPING} AS x FROM x{i} JOIN f USING (host, k) UNION ALL SELECT host, k, x FROM z) GROUP BY 1, 2)")
+    part = lambda k: f"round(coalesce(sum(CASE WHEN k = '{k}' THEN x END) / (SELECT sum(x) FROM x{rounds} WHERE k = '{k}'), 0), {DIGITS})"
+    steps.append(f"v AS (SELECT host, {part('t')} AS t, {part('d')} AS d FROM x{rounds} GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT page_id, q.host, path, rule, coalesce(rv, CASE WHEN d > t THEN 'block' WHEN d IS NOT NULL THEN 'allow' END, 'allow') AS verdict, coalesce(t, 0) AS trust, coalesce(d, 0) AS distrust FROM q LEFT JOIN v ON v.host = q.host"
 
 
 def licenses(header_least: float = 0.8, file_least: float = 0.6) -> str:

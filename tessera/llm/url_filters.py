@@ -1,17 +1,24 @@
 """URL filters: longest-fitting host and path rules, and trust propagated over the host graph where no rule fits.
 
-Host edges come from absolute links in the pages and from site structure (a host and the known host one label above
-it). Trust is a personalised PageRank from hosts whose pages the allow rules fit; distrust runs against the links
-from hosts whose pages the block rules fit (who links to a blocked host is suspect). Both are sums to one over their
-seeds. A host is blocked when its distrust exceeds ``ratio`` times its trust.
+The graph's nodes are the hosts of pages and links and all their parents down to two labels (``a.b.example.net``,
+``b.example.net``, ``example.net``), whether these have pages or not. Its edges are the absolute links between hosts,
+and site structure: a host and its parent lead to each other. Trust is a personalised PageRank from hosts whose pages
+the allow rules fit; distrust runs against the edges from hosts whose pages the block rules fit (who links to a blocked
+host is suspect). Each is one over its seeds, and one over all nodes in the end; what reaches a node without edges goes
+back to the seeds. A round moves at most ``DAMPING`` of what the round before moved, on any graph, so rounds go on until
+that power is less than ``TOLERANCE``. A host is blocked when its distrust exceeds ``ratio`` times its trust, compared
+to ``DIGITS`` digits, which the tolerance does not reach.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, which no rule fits and which no edge
 reaches (allow); hosts without trust and distrust are allowed; a rule fits its host and all subdomains when the path
-begins with the rule's; of several the longest wins, on equal length block; null html has no links.
+begins with the rule's; of several the longest wins, on equal length block; null html has no links; repeated rows each
+get their row and count in their host's share; only page_id, url and html are read, other columns may have any names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +35,11 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
+#: The share that goes on in a round, the change at which rounds end, and the digits that are compared.
+DAMPING, TOLERANCE, DIGITS = 0.5, 1e-6, 5
+#: Rounds that are planned together, between two writes.
+TOGETHER = 1
+
 #: More rules than this are joined instead of written into the plan.
 INLINE_RULES = 200
 
@@ -62,61 +74,69 @@ def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
     return pages.join(best, ["host", "path"], "left")
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``(src, dst, weight)`` between different hosts, summed per pair before anything is exchanged.
-
-    pages: host and html. hosts: the known hosts.
-    """
+def host_edges(pages: DataFrame) -> DataFrame:
+    """``(src, dst, weight)`` between different hosts of pages (host, html), summed per pair before anything is exchanged."""
     links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?(?:[a-z]+:)?//([^/?#\"'\s<>]+)"), F.lit(1))
     linked = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("dst"))
     linked = linked.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    parent = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
-    below = hosts.select("host", parent.alias("up")).where("up <> ''")
-    site = below.join(hosts.select(F.col("host").alias("up")), "up").select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("up").alias("dst")), F.struct(F.col("up").alias("src"), F.col("host").alias("dst")))).alias("e"))
-    both = linked.unionByName(site.select("e.src", "e.dst", F.lit(1.0).alias("weight")))
-    return both.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    linked = cut(linked, "linked")
+    hosts = pages.select("host").where("host <> ''").distinct().unionByName(linked.select(F.col("dst").alias("host"))).distinct()
+    labels = F.split("host", r"\.")
+    name = lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))
+    steps = F.when(F.size(labels) > 2, F.sequence(F.lit(1), F.size(labels) - 2)).otherwise(F.array().cast("array<int>"))
+    site = hosts.select(F.explode(F.transform(steps, lambda i: F.struct(name(i).alias("below"), name(i + 1).alias("above")))).alias("e")).select("e.*").distinct()
+    both = F.array(F.struct(F.col("below").alias("src"), F.col("above").alias("dst")), F.struct(F.col("above").alias("src"), F.col("below").alias("dst")))
+    structure = site.select(F.explode(both).alias("e")).select("e.*", F.lit(1.0).alias("weight"))
+    return linked.unionByName(structure).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
-    """``(host, trust, distrust)``: seeds ``(host, trust, distrust)`` spread along and against the edges.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """``(host, trust, distrust)``: seeds ``(host, trust, distrust)`` spread along and against the edges until they rest.
 
-    Each round is one join of the scores with the edges and one sum per host, written to the shared folder.
+    A round is one join of the scores with the edges and one sum per host, with map-side combine.
     """
+    edges = cut(edges, "edges")
     flows = []
     for kind, start, end in (("trust", "src", "dst"), ("distrust", "dst", "src")):
         out = edges.groupBy(start).agg(F.sum("weight").alias("total"))
-        flows.append(edges.join(out, start).select(F.col(start).alias("host"), F.col(end).alias("to"), F.lit(kind).alias("kind"), (F.col("weight") / F.col("total")).alias("share")))
+        flows.append(edges.join(out, start).select(F.col(start).alias("host"), F.col(end).alias("to"), F.lit(kind).alias("kind"), (damping * F.col("weight") / F.col("total")).alias("share")))
     flow = cut(flows[0].unionByName(flows[1]), "flow")
     sums = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     start = seeds.select("host", F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), (F.col("trust") / F.lit(float(sums["t"] or 1) or 1.0)).alias("seed")),
         F.struct(F.lit("distrust").alias("kind"), (F.col("distrust") / F.lit(float(sums["d"] or 1) or 1.0)).alias("seed")),
     )).alias("s")).select("host", "s.kind", "s.seed").where("seed > 0")
-    start = cut(start, "seeds")
-    score = start.withColumnRenamed("seed", "score")
-    for _ in range(rounds):
-        moved = score.join(flow, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share") * damping).alias("score"))
-        old, score = score, cut(moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")), "score")
-        discard(old)
+    score = start = cut(start, "seeds").withColumnRenamed("seed", "score")
+    rounds, written = math.ceil(math.log(tolerance) / math.log(damping)), None
+    for done in range(1, rounds + 1):
+        moved = score.join(flow, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score"))
+        score = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        if done % TOGETHER == 0 or done == rounds:
+            old, written = written, cut(score, "score")
+            score = written
+            if old is not None:
+                discard(old)
+    # what nodes without edges had went nowhere; given back to the seeds, it would have raised all scores in proportion
+    sums = score.groupBy("kind").agg(F.sum("score").alias("all"))
+    score = score.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("score") / F.col("all")).alias("score"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return score.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], ratio: float = 1.0, rounds: int = 8) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], ratio: float = 1.0, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` of every row of ``(page_id, url, html)``."""
     host, path = url_parts(F.col("url"))
-    parts = pages.withColumn("host", host).withColumn("path", path)
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     ruled = cut(with_rules(parts.select("page_id", "host", "path"), rules), "ruled")
     is_ = lambda v: F.sum(F.when(F.col("rule_verdict") == v, 1.0).otherwise(0.0)) / F.count(F.lit(1))
     hosts = cut(ruled.where("host <> ''").groupBy("host").agg(is_("allow").alias("trust"), is_("block").alias("distrust")), "hosts")
-    scores = propagate(host_edges(parts.select("host", "html"), hosts), hosts, rounds)
-    # nine digits: the order in which a sum's parts arrive decides nothing
-    blocked = F.round(F.col("distrust"), 9) > F.round(ratio * F.col("trust"), 9)
-    judged = scores.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("host_verdict"))
+    scores = propagate(host_edges(parts.select("host", "html")), hosts, damping, tolerance)
+    rounded = lambda c: F.round(c, DIGITS)
+    judged = cut(scores.select("host", rounded("trust").alias("trust"), rounded("distrust").alias("distrust")), "judged")
+    judged = judged.withColumn("host_verdict", F.when(F.col("distrust") > rounded(ratio * F.col("trust")), "block").otherwise("allow"))
     out = ruled.join(judged, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(read(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
-    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+    return judge(read(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
