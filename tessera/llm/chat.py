@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import cut, read, ship
 
 # Control strings of this template and of other common chat templates.
 CONTROLS = ["<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|startoftext|>", "<|endoftext|>"]
@@ -116,6 +116,7 @@ FORMATTED = "conv_id long, leaf long, rank long, n_turns long, turns_sha256 stri
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """One row per path: the formatted string, its loss spans and digests of what ``parse`` reads back from it."""
+    ship(paths.sparkSession)
     keyed = paths.withColumn("c", F.struct("conv_id")).drop("conv_id").join(messages.select(F.struct("conv_id").alias("c"), "node", "role", "text"), ["c", "node"])
     dealt = keyed.repartition("c", "leaf").sortWithinPartitions("c", "leaf", "rank", "depth")
     rows = dealt.select(F.col("c.conv_id").alias("conv_id"), "leaf", "rank", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

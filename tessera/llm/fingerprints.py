@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import cut, map_arrow, read
 
 # Two primes under 2 ** 31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -185,6 +185,9 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 2000) -> Itera
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
+#: Bytes of text in a range, at most on the average.
+RANGE_BYTES = 128 << 20
+
 _ARROW = [("key", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("mark", pa.binary()), ("edited_mark", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("prefix_edited", pa.int64()), ("prefix_next", pa.int64())]
 _EDGES = [("part", pa.int32()), ("first_text", pa.string()), ("last_text", pa.string())]
 
@@ -193,7 +196,8 @@ def neighbours(df: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     """``compared`` of each row with the next one in descending order of ``key`` (the first one after the last)."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("key").desc_nulls_last(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(parts, F.col("key").desc_nulls_last()).sortWithinPartitions(*order)
+    # by the text too: rows without a key, or with the same one, may be many
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = pa.schema(_ARROW + _EDGES)
 
     def walk(batches):
@@ -214,7 +218,7 @@ def neighbours(df: DataFrame, key: str, text: str, parts: int) -> DataFrame:
 
         return _batches(found(), schema)
 
-    walked = cut(ranged.mapInArrow(walk, _RESULT + ", part int, first_text string, last_text string"), "neighbours")
+    walked = cut(map_arrow(ranged, walk, _RESULT + ", part int, first_text string, last_text string"), "neighbours")
     done = walked.where("part is null").select(*_NAMES)
     # one row per range that has rows: its last row still waits for the first of the next range
     edges = walked.where("part is not null")
@@ -230,12 +234,14 @@ def neighbours(df: DataFrame, key: str, text: str, parts: int) -> DataFrame:
 
         return _batches(found(), pa.schema(_ARROW))
 
-    return done.unionByName(waits.select("key", "text", "next_text").mapInArrow(close, _RESULT))
+    return done.unionByName(map_arrow(waits.select("key", "text", "next_text"), close, _RESULT))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = neighbours(read(spark, sf_dir, "documents"), "doc_id", "text", parts)
+    docs = read(spark, sf_dir, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    out = neighbours(docs, "doc_id", "text", parts)
     return out.select(
         F.col("key").alias("doc_id"), "n_chars", "edited_sha256",
         F.lower(F.hex("mark")).alias("fingerprint"), F.lower(F.hex("edited_mark")).alias("edited_fingerprint"),

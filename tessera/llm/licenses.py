@@ -11,8 +11,9 @@ adjoining lines (compared as one statement) and of the full texts and standard h
 file holds by its word shingles. A file that consists of such a text is a licence file too.
 
 Defined results: null and empty texts have no statement, but inherit; a null path is a file at the root; of several
-templates the most alike wins, ties go to the first name; of several licence files in a directory likewise; repeated
-rows each get their row.
+templates the most alike wins, ties go to the first name; of several licence files in a directory likewise; a file
+is judged by its own text, whatever other rows have its id or path, and rows without an id too; repeated rows each get
+their row; texts of any length count whole; only the three columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,6 +144,8 @@ def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -
 
     Columns: file_id, path, licence, cosine (of the own header), is_file, inherited, from_dir.
     """
+    # null ids are equal in a struct
+    files = files.select(F.struct(F.col("file_id").alias("id"), F.xxhash64("text").alias("h")).alias("file_id"), "path", "text")
     path = F.coalesce("path", F.lit(""))
     low = F.lower(F.coalesce("text", F.lit("")))
     narrow = files.select("file_id", path.alias("path"), F.regexp_replace(path, r"[^/]*$", "").alias("dir"))
@@ -183,7 +186,7 @@ def scan(files: DataFrame, header_least: float = 0.8, file_least: float = 0.6) -
     nearest = dirs.select("dir", F.explode(F.array_distinct(above)).alias("from_dir")).join(covers, "from_dir").groupBy("dir").agg(F.max(F.struct(F.length("from_dir").alias("n"), "from_dir", "covered")).alias("got"))
     out = narrow.join(nearest.select("dir", "got.from_dir", "got.covered"), "dir", "left").join(own, ["file_id", "path"], "left")
     mine = F.col("licence").isNotNull()
-    return out.select("file_id", "path", "licence", "cosine", F.col("file").isNotNull().alias("is_file"), F.when(~mine, F.col("covered")).alias("inherited"), F.when(~mine, F.col("from_dir")).alias("from_dir"))
+    return out.select(F.col("file_id.id").alias("file_id"), "path", "licence", "cosine", F.col("file").isNotNull().alias("is_file"), F.when(~mine, F.col("covered")).alias("inherited"), F.when(~mine, F.col("from_dir")).alias("from_dir"))
 
 
 def document_path(source: Column, doc_id: Column) -> Column:

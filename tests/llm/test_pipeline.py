@@ -46,7 +46,7 @@ def test_toxic_stage_uses_the_operators_threshold_and_each_rows_own_score(spark,
     score = F.when(F.col("text") == "t", 0.4).otherwise(0.1)
     monkeypatch.setattr(corpus_pipeline, "toxicity", lambda d, *_, key=None: d.select("doc_id", *([key] if key else []), score.alias("score")))
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.without_toxic(spark, df, str(tmp_path)).collect())
-    assert got == Counter([(None, "clean"), (None, None), (3, None)])
+    assert got == Counter([(2, "clean"), (None, "clean"), (None, None), (3, None)])
 
 
 def test_null_ids_are_scored_and_dropped(spark, tmp_path):
@@ -57,3 +57,16 @@ def test_null_ids_are_scored_and_dropped(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.without_toxic(spark, df, str(tmp_path)).collect()}
     assert got == {*rows[:60], rows[81]}
+
+
+def test_other_columns_and_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    clash = "doc_id long, text string, score string, key string, component string, kept string, leaked string, ids string"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)), *"abcdef") for i in range(6)]
+    spark.createDataFrame(rows, clash).write.parquet(f"{d}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == set(range(6))
+    spark.createDataFrame([], clash).write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    spark.catalog.clearCache()
+    assert corpus_pipeline.run(spark, d).count() == 0
