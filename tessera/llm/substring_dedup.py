@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings across a corpus by suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (smaller doc_id, or same document and
-earlier start). Every such string has an anchor: of its ``GRAM``-byte strings the one with the smallest hash. Equal
+earlier start). Every such string has an anchor: of its ``GRAM``-byte strings the first one with the smallest hash. Equal
 strings have equal anchors at equal places, so only texts around equal anchors need to be compared:
 
 1. Each scan task finds the anchors of its whole texts with a hash of all the strings that have the anchor (its
@@ -85,8 +85,13 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     place = at[np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
     mine = grams[place] == least[starts[run]]
     run, at = run[mine], place[mine]
-    left = at - np.maximum(at - window + 1, starts[run])
-    right = np.minimum(at, stops[run] - 1) + LENGTH - at
+    # a window belongs to the first of its places: a text that repeats itself has many
+    before = np.full(len(at), -1)
+    before[1:] = np.where(run[1:] == run[:-1], at[:-1], -1)
+    lo, hi = np.maximum(np.maximum(at - window + 1, starts[run]), before + 1), np.minimum(at, stops[run] - 1)
+    some = lo <= hi
+    at, lo, hi = at[some], lo[some], hi[some]
+    left, right = at - lo, hi + LENGTH - at
     context = mix(_span_hash(prefix, at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
     return grams[at], context, at, left, right
 
