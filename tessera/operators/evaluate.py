@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.gaussian import squared_distance
+from tessera.lineage import cut, ship
 
 
 def contingency(rows: DataFrame) -> DataFrame:
@@ -93,14 +95,39 @@ def calinski_harabasz(rows: DataFrame, d: int) -> DataFrame:
     return one.select((F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 
 
-def silhouette(rows: DataFrame, d: int, most: int = 20_000) -> DataFrame:
-    """Mean silhouette (Euclidean), exact: all pairs, so tables of more than ``most`` rows are refused, not sampled."""
-    if rows.count() > most:
-        raise ValueError(f"silhouette compares all pairs; give it at most {most} rows")
-    a = rows.select(F.col("id").alias("i"), F.col("pred").alias("p"), F.col("features").alias("x"))
-    b = rows.select(F.col("id").alias("j"), F.col("pred").alias("q"), F.col("features").alias("y"))
-    far = a.crossJoin(b).where("i <> j").groupBy("i", "p", "q").agg(F.avg(F.sqrt(squared_distance(F.col("x"), F.col("y")))).alias("m"))
-    per = far.groupBy("i").agg(F.max(F.when(F.col("p") == F.col("q"), F.col("m"))).alias("a"), F.min(F.when(F.col("p") != F.col("q"), F.col("m"))).alias("b"))
+def silhouette(rows: DataFrame, d: int, block: int = 1024) -> DataFrame:
+    """Mean silhouette (Euclidean), exact, of any number of rows ``(id, pred, features)``: the first d features count.
+
+    The distances of all pairs are its definition; they are summed per row and cluster in pairs of blocks of rows, so
+    what a task holds and what is exchanged (rows times clusters) stays bounded, while the work is quadratic.
+    """
+    ship(rows.sparkSession)
+    parts = max(1, -(-rows.count() // block))
+    keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("at"), F.struct(F.col("id").cast("long").alias("id"), F.col("pred").cast("long").alias("pred"), F.slice("features", 1, d).alias("x")).alias("r"))
+    blocks = cut(keyed.groupBy("at").agg(F.collect_list("r").alias("rows")), "blocks")
+    pairs = blocks.select(F.col("rows").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("at")).join(blocks, "at").select("mine", "rows")
+
+    def table(cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = cell.values
+        x = np.asarray(v.field("x").flatten(), float).reshape(len(v), -1)
+        return np.asarray(v.field("id")), np.asarray(v.field("pred")), x
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, _, x = table(batch.column("mine")[k])
+                others, preds, y = table(batch.column("rows")[k])
+                far = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0))
+                own = ids[:, None] == others[None, :]
+                far[own] = 0
+                for q in np.unique(preds):
+                    on = preds == q
+                    n = on.sum() - own[:, on].sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), q)), pa.array(far[:, on].sum(axis=1)), pa.array(n)], ["id", "q", "total", "n"])
+
+    sums = pairs.mapInArrow(run, "id long, q long, total double, n long").groupBy("id", "q").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
+    far = sums.join(rows.select(F.col("id").cast("long").alias("id"), F.col("pred").cast("long").alias("p")), "id").withColumn("m", F.col("total") / F.col("n"))
+    per = far.groupBy("id").agg(F.max(F.when(F.col("p") == F.col("q"), F.col("m"))).alias("a"), F.min(F.when(F.col("p") != F.col("q"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.agg(F.avg(s).alias("silhouette"))
 

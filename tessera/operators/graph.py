@@ -6,6 +6,8 @@ join, one minimum per vertex and one write to the shared folder per round; the e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,9 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 # ---- iteration
 
+#: Levels that a search reads as tables of their own.
+TABLES = 8
+
 
 def _checked(edges: DataFrame) -> DataFrame:
     typed = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"))
@@ -84,15 +89,20 @@ def _start(edges: DataFrame, source: int, name: str) -> DataFrame:
 def bfs_levels(edges: DataFrame, source: int) -> DataFrame:
     """``(vertex, level)`` of every vertex that can be reached: frontier, neighbours, minus the visited."""
     pairs = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "pairs")
-    visited = frontier = cut(_start(pairs, source, "level"), "bfs")
-    level = 0
+    frontier = cut(_start(pairs, source, "level"), "bfs")
+    levels, level = [frontier], 0
     while True:
         level += 1
+        visited = reduce(DataFrame.unionByName, levels)
+        if len(levels) > TABLES:
+            # few tables however deep the graph: each is written again once in so many levels
+            visited = cut(visited, "bfs")
+            levels = [visited]
         reached = frontier.join(pairs, frontier.vertex == pairs.src).select(F.col("dst").alias("vertex")).distinct()
         frontier, seen = cut_watched(reached.join(visited, "vertex", "left_anti").withColumn("level", F.lit(level).cast("long")), "bfs", n=F.count(F.lit(1)))
         if not seen["n"]:
             return visited
-        visited = visited.unionByName(frontier)
+        levels.append(frontier)
 
 
 def _relax(dist: DataFrame, frontier: DataFrame, edges: DataFrame, **watch: Column) -> tuple[DataFrame, dict]:

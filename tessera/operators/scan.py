@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut
 
 
+def _range_of(column: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts are less than the value: a tree of comparisons, as deep as the logarithm of their number."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(column > cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(cuts))
+
+
+def positions(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """rows with their place (from 0) in order of columns that tell them apart.
+
+    They are dealt into ranges of the whole order, so that rows of one value may fill many; each range starts after
+    the rows of those before it (one row per range).
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(*order)
+    numbered = dealt.withColumn("_at", F.row_number().over(within).cast("long") - 1).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(out, F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")
+
+
 def reduce(vec: DataFrame, how: str = "sum") -> DataFrame:
     """One row: sum, max or min of the values (partial sums per task, then one)."""
     return vec.agg(getattr(F, how)(F.col("value")).alias("value"))
@@ -26,7 +54,7 @@ def prefix_sum(vec: DataFrame, inclusive: bool = True, ranges: int | None = None
     """
     n = ranges or int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(vec.stat.approxQuantile("idx", [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    part = sum(((F.col("idx") > c).cast("int") for c in cuts), F.lit(0))
+    part = _range_of(F.col("idx"), cuts)
     dealt = vec.select("idx", "value").withColumn("_part", part)
     sums = dealt.groupBy("_part").agg(F.sum("value").alias("_sum"))
     # one row per range, a bounded number
@@ -53,8 +81,9 @@ def _smaller(vec: DataFrame) -> DataFrame:
 
 def rank_sort(vec: DataFrame) -> DataFrame:
     """``(idx, value, smaller, position)``: position is the row's place in a stable ascending sort."""
-    ties = Window.partitionBy("value").orderBy("idx")
-    return vec.withColumn("_tie", F.row_number().over(ties).cast("long") - 1).join(_smaller(vec), "value").select("idx", "value", "smaller", (F.col("smaller") + F.col("_tie")).alias("position"))
+    placed = positions(vec.select("idx", "value"), ["value", "idx"], "position")
+    # written, so that the join can split the rows of a frequent value
+    return placed.join(cut(_smaller(vec), "smaller"), "value").select("idx", "value", "smaller", "position")
 
 
 def stable_sort(vec: DataFrame) -> DataFrame:
@@ -69,8 +98,7 @@ def range_sort(vec: DataFrame, parts: int) -> DataFrame:
 def merge_sorted(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(position, value, source, idx)``: the merge of two sorted lists; equal values keep a before b, and all stay."""
     both = a.select("idx", "value", F.lit(0).alias("source")).unionByName(b.select("idx", "value", F.lit(1).alias("source")))
-    ties = Window.partitionBy("value").orderBy("source", "idx")
-    return both.withColumn("_tie", F.row_number().over(ties).cast("long") - 1).join(_smaller(both), "value").select((F.col("smaller") + F.col("_tie")).alias("position"), "value", "source", "idx")
+    return positions(both, ["value", "source", "idx"], "position").select("position", "value", "source", "idx")
 
 
 def insertion_points(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -85,7 +113,7 @@ def is_sorted(vec: DataFrame, by: str = "idx", column: str = "value") -> DataFra
     """One row: whether ``column`` never falls in order of ``by``. Each range is checked by itself, then the seams."""
     n = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(vec.stat.approxQuantile(by, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    part = sum(((F.col(by) > c).cast("int") for c in cuts), F.lit(0))
+    part = _range_of(F.col(by), cuts)
     before = F.lag(column).over(Window.partitionBy("_part").orderBy(by))
     ranges = vec.withColumn("_part", part).withColumn("_ok", F.coalesce(before <= F.col(column), F.lit(True)))
     per = ranges.groupBy("_part").agg(F.bool_and("_ok").alias("ok"), F.min_by(column, by).alias("first"), F.max_by(column, by).alias("last"))

@@ -11,18 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed edges customer to supplier of the first 60 shipping days, with the least quantity."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_shipdate")
+    """Directed edges customer to supplier of all order lines, with the least quantity."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    until = items.agg((F.min("l_shipdate") + F.expr("INTERVAL 60 DAYS")).alias("until"))
-    early = items.crossJoin(F.broadcast(until)).where(F.col("l_shipdate") < F.col("until"))
-    pairs = early.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(1_000_000) + F.col("l_suppkey")).alias("dst"), F.col("l_quantity").cast("int").cast("long").alias("weight"))
+    pairs = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(1_000_000) + F.col("l_suppkey")).alias("dst"), F.col("l_quantity").cast("int").cast("long").alias("weight"))
     return pairs.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
-TRIPS_SQL = """lo AS (SELECT min(l_shipdate) + INTERVAL 60 DAY AS hi FROM lineitem),
-d AS (SELECT o_custkey AS s, 1000000 + l_suppkey AS t, min(CAST(l_quantity AS BIGINT)) AS w
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey, lo WHERE l_shipdate < hi GROUP BY 1, 2),
+TRIPS_SQL = """d AS (SELECT o_custkey AS s, 1000000 + l_suppkey AS t, min(CAST(l_quantity AS BIGINT)) AS w
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 e AS (SELECT s, t, w FROM d UNION ALL SELECT t, s, w FROM d)"""
 
 
