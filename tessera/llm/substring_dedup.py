@@ -147,7 +147,8 @@ def first_contexts(docs: DataFrame) -> DataFrame:
         distinct = np.cumsum(~again)
         nth = distinct - np.maximum.accumulate(np.where(new_anchor, distinct, 0))
         far = (context >> _U(32)).astype(np.int64) & 1023
-        salt = np.where(again, 1 + (where & 1023), np.where(nth >= MET, 2000 + far, 0)).astype(np.int32)
+        anywhere = ((where >> 16) * 31 + number * 17) & 1023
+        salt = np.where(again, 1 + anywhere, np.where(nth >= MET, 2000 + far, 0)).astype(np.int32)
         keep = ~same
         for a in range(0, len(order), 100_000):
             part = np.flatnonzero(keep[a : a + 100_000]) + a
