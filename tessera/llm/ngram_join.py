@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, map_arrow, read, release, slices
+from .shared import cut, map_arrow, read, release, slices, steps
 from .shingles import mix, shingle_sets
 
 #: Members of a group, queries that meet it in one task, pivots of a kind, buckets of the frequency sketch.
@@ -258,22 +258,23 @@ def record_components(docs: DataFrame, k: int, num: int, den: int, one_document:
 
     one_document: rows with an equal doc_id belong together; rows without one stay out.
     """
-    marks = signatures(docs, k, num, den)
-    rows = marks.select("uid", "doc_id", "h", "n", "k1", "k2")
-    some = rows.where("n > 0 and doc_id is not null" if one_document else "n > 0")
-    # written, so that the joins below exchange both sides and a large group of copies can be split
-    same = cut(some.groupBy("k1", "k2", "n").agg(F.min("uid").alias("rec")), "same")
-    owned = cut(some.join(same, ["k1", "k2", "n"]).select("uid", "doc_id", "rec"), "owned")
-    records = marks.join(same.select(F.col("rec").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rec"), "doc_id", "h", "n", "kind", "prefix", *WORDS)
-    links = record_links(docs, records, k, num, den)
-    if one_document:
-        ids = cut(owned.groupBy("doc_id").agg(F.min("rec").alias("a"), F.max("rec").alias("z")).where("a <> z").select("doc_id", "a"), "ids")
-        links = links.unionByName(owned.join(ids, "doc_id").select("a", F.col("rec").alias("b")).distinct())
-    links = cut(links, "links")
-    release(docs.sparkSession)
-    found = cut(components(links), "components").withColumnRenamed("node", "rec")
-    placed = owned.join(found, "rec", "left").select("uid", F.coalesce("component", "rec").alias("component"))
-    return cut(rows.select("uid", "doc_id", "h", "n").join(placed, "uid", "left"), "placed")
+    with steps(docs.sparkSession) as stays:
+        marks = signatures(docs, k, num, den)
+        rows = marks.select("uid", "doc_id", "h", "n", "k1", "k2")
+        some = rows.where("n > 0 and doc_id is not null" if one_document else "n > 0")
+        # written, so that the joins below exchange both sides and a large group of copies can be split
+        same = cut(some.groupBy("k1", "k2", "n").agg(F.min("uid").alias("rec")), "same")
+        owned = cut(some.join(same, ["k1", "k2", "n"]).select("uid", "doc_id", "rec"), "owned")
+        records = marks.join(same.select(F.col("rec").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rec"), "doc_id", "h", "n", "kind", "prefix", *WORDS)
+        links = record_links(docs, records, k, num, den)
+        if one_document:
+            ids = cut(owned.groupBy("doc_id").agg(F.min("rec").alias("a"), F.max("rec").alias("z")).where("a <> z").select("doc_id", "a"), "ids")
+            links = links.unionByName(owned.join(ids, "doc_id").select("a", F.col("rec").alias("b")).distinct())
+        links = cut(links, "links")
+        release(docs.sparkSession)
+        found = cut(components(links), "components").withColumnRenamed("node", "rec")
+        placed = owned.join(found, "rec", "left").select("uid", F.coalesce("component", "rec").alias("component"))
+        return stays(cut(rows.select("uid", "doc_id", "h", "n").join(placed, "uid", "left"), "placed"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

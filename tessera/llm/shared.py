@@ -4,13 +4,42 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.lineage import cut, discard, release, scratch_dir, ship
+from tessera import lineage
+from tessera.lineage import discard, release, scratch_dir, ship
 
-__all__ = ["cut", "discard", "flat_bytes", "kept", "map_arrow", "read", "release", "scratch_dir", "ship", "slices"]
+__all__ = ["cut", "discard", "flat_bytes", "kept", "map_arrow", "read", "release", "scratch_dir", "ship", "slices", "steps"]
+
+_open: list[list[DataFrame]] = []
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``lineage.cut``; the table goes when the ``steps`` around it end."""
+    table = lineage.cut(df, name)
+    for made in _open:
+        made.append(table)
+    return table
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that are cut inside, but for those that the given function has marked to stay."""
+    made: list[DataFrame] = []
+    stay: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield lambda table: stay.append(table) or table
+    finally:
+        # by identity: lists of frames do not compare
+        _open[:] = [m for m in _open if m is not made]
+        for table in made:
+            if not any(table is s for s in stay):
+                discard(table)
+        release(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
