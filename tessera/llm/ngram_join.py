@@ -10,8 +10,9 @@ group's lacks is a token at least that no member has. Only where the bound allow
 opened: its members' and the query's whole sets are fetched and the exact similarities counted. The result is exact
 whatever the grouping. (A record of n < t / (1 - t) tokens is like no other set, and queries nothing.)
 
-First each group is joined with itself and with a few pivots of its kind; records that this connects need no further
-comparison with each other, so large groups of near copies are not compared pair by pair. Links come out as a spanning
+First each group is joined with itself and with a few pivots of its kind, then each record with the pivots of its rare
+tokens; records that this connects need no further comparison with each other, so large groups of near copies are not
+compared pair by pair. Links come out as a spanning
 forest of each opened group (no link between different components is lost).
 
 Defined results of ``jaccard_components``: null and empty texts, and texts without words, have n = 0 and are linked
@@ -35,6 +36,8 @@ from .shingles import mix, shingle_sets
 GROUP, QUERIES, PIVOTS, BUCKETS = 64, 512, 8, 1 << 16
 #: Rare tokens that a record and a group must share.
 SHARED = 3
+#: Rounds of comparison with pivots of tokens before records are compared with groups.
+PASSES = 2
 #: Places of a bitmap of tokens (a power of two, and of longs).
 BITS = 1024
 WORDS = [f"b{i}" for i in range(BITS // 64)]
@@ -208,6 +211,42 @@ def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(dealt.select("grp", "salt", "is_query", "rec", "tokens"), run, "a long, b long")
 
 
+def least_shared(n: Column, num: int, den: int) -> Column:
+    """Rare tokens that a set of n tokens shares with any that is linked to it, the smaller of the two having n."""
+    return F.least(F.lit(SHARED), F.ceil(n * num / den))
+
+
+def with_component(matrix: DataFrame, known: DataFrame) -> DataFrame:
+    told = matrix.join(known.withColumnRenamed("node", "rec"), "rec", "left")
+    return cut(told.select("token", "rec", "n", "grp", F.coalesce("component", "rec").alias("comp")), "told")
+
+
+def probed(docs: DataFrame, grouped: DataFrame, members: DataFrame, probes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of probes ``(rec, grp)`` with the ``members`` ``(grp, rec)`` of their groups, by whole sets."""
+    asked = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("salts"))
+    first = members.join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_query"), "rec")
+    queries = probes.join(asked, "grp").select("grp", F.pmod(F.xxhash64("rec"), F.col("salts")).alias("salt"), F.lit(True).alias("is_query"), "rec")
+    both = cut(first.unionByName(queries), "asked")
+    wanted = grouped.select("rec", "doc_id", "h").join(both.select("rec").distinct(), "rec", "left_semi")
+    return open_groups(both.join(cut(full_sets(docs, wanted, k), "sets"), "rec"), num, den)
+
+
+def pivot_links(docs: DataFrame, grouped: DataFrame, matrix: DataFrame, known: DataFrame, step: int, k: int, num: int, den: int) -> DataFrame:
+    """Links of records with pivots of another component, a pivot being the record of a token with the least hash.
+
+    A family of near copies shares its rare tokens, and so a few pivots, which most of it are linked with: what is left
+    for the search by groups is few records. The hash depends on ``step``.
+    """
+    told = with_component(matrix, known)
+    pivots = told.groupBy("token").agg(F.min(F.struct(F.xxhash64("rec", F.lit(step)), F.col("rec").alias("to"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("p")).select("token", "p.to", "p.m", "p.c")
+    small = F.least("n", "m")
+    fits = (F.col("comp") != F.col("c")) & (F.greatest("n", "m") * num <= small * den)
+    shares = told.join(pivots, "token").where(fits).groupBy("rec", "to").agg(F.count(F.lit(1)).alias("shared"), F.min(small).alias("small"))
+    probes = cut(shares.where(F.col("shared") >= least_shared(F.col("small"), num, den)).select("rec", F.col("to").alias("grp")), "probes")
+    members = probes.select("grp", F.col("grp").alias("rec")).distinct()
+    return cut(probed(docs, grouped, members, probes, k, num, den), "links")
+
+
 def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between records ``(rec, doc_id, h, n, kind, prefix, b0..)`` that connect all pairs of similarity num / den or more."""
     kinds = cut(records.groupBy("kind").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "kinds")
@@ -225,32 +264,27 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     inside = several.select("grp", "rec").unionByName(spread).distinct().join(sets, "rec")
     first = inside.select("grp", F.lit(0).cast("long").alias("salt"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_query"), "rec", "tokens")
     near = cut(open_groups(first, num, den), "links")
-    known = components(near)
-    release(docs.sparkSession)
+    # each record with the pivots of its rare tokens: one row a token and record, whatever the size of a family
+    links = near
+    for step in range(PASSES):
+        links = links.unionByName(pivot_links(docs, grouped, matrix, components(links), step, k, num, den))
+        release(docs.sparkSession)
     # queries that share rare tokens with a group of another component
-    told = matrix.join(known.withColumnRenamed("node", "rec"), "rec", "left").select("token", "rec", "n", "grp", F.coalesce("component", "rec").alias("comp"))
-    told = cut(told, "told").repartition("token")
+    told = with_component(matrix, components(links))
     mixed = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     asks = told.join(mixed, "token")
     holds = asks.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     holds = holds.withColumnRenamed("grp", "to")
     fits = (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den) & (F.col("to") >= F.col("grp"))
     other = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
-    least_shared = lambda n: F.least(F.lit(SHARED), F.ceil(n * num / den))
     shares = asks.join(holds, "token").where(fits & other).groupBy("rec", "to").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "least")).alias("small"))
-    probes = cut(shares.where(F.col("shared") >= least_shared(F.col("small"))).select("rec", F.col("to").alias("grp")), "probes")
+    probes = cut(shares.where(F.col("shared") >= least_shared(F.col("small"), num, den)).select("rec", F.col("to").alias("grp")), "probes")
     # the bound: places that the query has and the group's union lacks
     unions = grouped.join(probes.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(*[F.bit_or(w).alias(f"u{w}") for w in WORDS])
     lacks = sum((F.bit_count(F.col(w).bitwiseAND(F.bitwise_not(f"u{w}"))) for w in WORDS), F.lit(0))
     bounded = probes.join(grouped.select("rec", "n", *WORDS), "rec").join(unions, "grp").where((F.col("n") - lacks) * den >= F.col("n") * num)
     probes = cut(bounded.select("rec", "grp"), "open")
-    asked = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("salts"))
-    members = grouped.select("grp", "rec").join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_query"), "rec")
-    queries = probes.join(asked, "grp").select("grp", F.pmod(F.xxhash64("rec"), F.col("salts")).alias("salt"), F.lit(True).alias("is_query"), "rec")
-    both = cut(members.unionByName(queries), "asked")
-    wanted = grouped.select("rec", "doc_id", "h").join(both.select("rec").distinct(), "rec", "left_semi")
-    second = both.join(cut(full_sets(docs, wanted, k), "sets"), "rec")
-    return near.unionByName(open_groups(second, num, den))
+    return links.unionByName(probed(docs, grouped, grouped.select("grp", "rec"), probes, k, num, den))
 
 
 def record_components(docs: DataFrame, k: int, num: int, den: int, one_document: bool) -> DataFrame:
