@@ -129,6 +129,12 @@ def run_log(timings: DataFrame) -> DataFrame:
     return timings.groupBy("procs", "run").agg(F.max("seconds").alias("slowest"), F.avg("seconds").alias("mean"))
 
 
+def compare_timings(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two reports ``(stage, seconds)`` side by side: ``(stage, a, b, speedup)``, null where one lacks the stage."""
+    both = a.select("stage", F.col("seconds").alias("a")).join(b.select("stage", F.col("seconds").alias("b")), "stage", "full_outer")
+    return both.withColumn("speedup", F.when(F.col("b") > 0, F.col("a") / F.col("b")))
+
+
 def timing_summary(timings: DataFrame) -> DataFrame:
     """Totals, means and shares of ``(stage, seq, seconds)``."""
     total = timings.agg(F.sum("seconds").alias("_all"))

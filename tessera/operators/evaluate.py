@@ -15,6 +15,25 @@ def contingency(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pred", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def assembled(features: DataFrame, labels: DataFrame, preds: DataFrame) -> DataFrame:
+    """``(id, features, label, pred, lacks)`` of tables by id; lacks names what an id has no row of, else it is empty."""
+    tables = {"features": features, "label": labels, "pred": preds}
+    out = None
+    for name, table in tables.items():
+        one = table.select("id", name, F.lit(True).alias(f"_{name}"))
+        out = one if out is None else out.join(one, "id", "full_outer")
+    lacks = F.concat_ws(",", *[F.when(F.col(f"_{name}").isNull(), F.lit(name)) for name in tables])
+    return out.select("id", *tables, lacks.alias("lacks"))
+
+
+def bundle(rows: DataFrame, d: int) -> DataFrame:
+    """All measures of ``(id, pred, label, features)`` as one row."""
+    out = agreement(rows)
+    for one in (purity(rows), misclassification(rows), ari(rows), nmi(rows), calinski_harabasz(rows, d)):
+        out = out.crossJoin(one)
+    return out
+
+
 def contingency_matrix(rows: DataFrame, labels: list[int]) -> DataFrame:
     return rows.groupBy("pred").pivot("label", labels).count().na.fill(0)
 

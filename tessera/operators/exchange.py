@@ -27,6 +27,14 @@ def distribution(vertices: DataFrame, owner: Column) -> DataFrame:
     return vertices.groupBy(owner.alias("owner")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def distribution_check(vertices: DataFrame, vertex: str, owner: Column) -> DataFrame:
+    """One row ``(owners, held, total, ok)``: whether the owners' counts of distinct vertices add up to all of them."""
+    held = vertices.select(vertex, owner.alias("owner")).distinct().groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    one = held.agg(F.count(F.lit(1)).alias("owners"), F.coalesce(F.sum("n"), F.lit(0)).alias("held"))
+    total = vertices.select(vertex).distinct().agg(F.count(F.lit(1)).alias("total"))
+    return one.crossJoin(total).withColumn("ok", F.col("held") == F.col("total"))
+
+
 def all_to_all(messages: DataFrame) -> DataFrame:
     """``(dst, received)`` of ``(src, dst, value)``: what each rank receives, in order of the sender."""
     return messages.groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "value"))), lambda m: m["value"]).alias("received"))

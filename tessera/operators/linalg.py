@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def random_ints(spark: SparkSession, n: int, below: int, seed: int = 42) -> DataFrame:
+    """``(idx, value)``: n integers from 0 to below - 1, each a hash of its place, on any partitioning the same."""
+    return spark.range(n).select(F.col("id").alias("idx"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(below)).alias("value"))
+
+
 def vec_add(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("idx", F.col("value").alias("a")).join(b.select("idx", F.col("value").alias("b")), "idx").select("idx", (F.col("a") + F.col("b")).alias("value"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.gaussian import normal_logpdf, normal_pdf
 from tessera.lineage import scratch_dir
 from tessera.operators import bench_stats, evaluate, exchange, gmm, graph, linalg, scan
-from tessera.plans import views
+from tessera.plans import experiment, views
 from tessera.plans.views import MAT_SQL, TRIPS_SQL, VEC_SQL
 from tessera.sources import io
 
@@ -719,6 +719,69 @@ def transfer_overhead(spark, sf):
     return t.select("flag", F.round(bench_stats.share("moved", "total"), 6).alias("pct"))
 
 
+@query("WITH t AS (SELECT l_linenumber AS procs, l_suppkey % 8 AS rank, max(l_quantity) AS s FROM lineitem GROUP BY 1, 2) SELECT CAST(procs AS INT) AS procs, CAST(rank AS INT) AS rank, CAST(s AS DOUBLE) AS seconds FROM t")
+def io_rank_blocks(spark, sf):
+    t = views.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("procs"), F.lit(0).alias("run"), F.pmod("l_suppkey", F.lit(8)).cast("int").alias("rank")).agg(F.max("l_quantity").cast("double").alias("seconds"))
+    io.write_rank_blocks(t, path := _place(spark, "blocks"))
+    return io.read_rank_blocks(spark, path).drop("run")
+
+
+_REPORT_SQL = "SELECT 'Orders ' || o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS value, 'rows' AS unit FROM orders GROUP BY o_orderstatus UNION ALL SELECT CAST(s_nationkey AS VARCHAR) || ' | ' || CAST(count(*) AS VARCHAR), CAST(min(s_suppkey) AS DOUBLE), 'bucket' FROM supplier GROUP BY s_nationkey"
+
+
+@query(_REPORT_SQL)
+def io_report(spark, sf):
+    metrics = views.table(spark, sf, "orders").groupBy(F.concat(F.lit("Orders "), "o_orderstatus").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("unit", F.lit("rows"))
+    buckets = views.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("size"), F.min("s_suppkey").cast("double").alias("seconds"))
+    io.write_report(metrics, buckets, path := _place(spark, "report"))
+    back, rows = io.read_report(spark, path)
+    return back.unionByName(rows.select(F.concat_ws(" | ", "bucket", "size").alias("metric"), F.col("seconds").alias("value"), F.lit("bucket").alias("unit")))
+
+
+@query("WITH t AS (SELECT o_orderpriority AS stage, o_orderstatus AS s, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), a AS (SELECT stage, v FROM t WHERE s = 'F'), b AS (SELECT stage, v FROM t WHERE s = 'O') SELECT coalesce(a.stage, b.stage) AS stage, round(a.v, 2) AS a, round(b.v, 2) AS b, round(a.v / b.v, 6) AS speedup FROM a FULL OUTER JOIN b ON a.stage = b.stage")
+def timing_compare(spark, sf):
+    t = views.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stage"), "o_orderstatus").agg(F.round(F.sum("o_totalprice"), 2).alias("seconds"))
+    one = lambda s: t.where(F.col("o_orderstatus") == s)
+    return rounded(rounded(bench_stats.compare_timings(one("F"), one("O")), "a", "b", digits=2), "speedup")
+
+
+@query("SELECT count(DISTINCT c_custkey % 7) AS owners, CAST(count(DISTINCT c_custkey) AS BIGINT) AS held, count(DISTINCT c_custkey) AS total, true AS ok FROM customer")
+def partition_check(spark, sf):
+    return exchange.distribution_check(views.table(spark, sf, "customer"), "c_custkey", exchange.owner_mod(F.col("c_custkey"), 7))
+
+
+@query("WITH f AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), l AS (SELECT vec_id AS id, CAST(label AS INT) AS label FROM embeddings WHERE vec_id % 3 > 0), p AS (SELECT vec_id + 5 AS id, CAST(label AS INT) AS pred FROM embeddings) SELECT id, round(x, 6) AS x, label, pred, concat_ws(',', CASE WHEN x IS NULL THEN 'features' END, CASE WHEN label IS NULL THEN 'label' END, CASE WHEN pred IS NULL THEN 'pred' END) AS lacks FROM f FULL OUTER JOIN l USING (id) FULL OUTER JOIN p USING (id)")
+def assembled_rows(spark, sf):
+    p = views.points(spark, sf, 1)
+    preds = p.select((F.col("id") + 5).alias("id"), F.col("label").alias("pred"))
+    out = evaluate.assembled(p, p.where(F.pmod("id", F.lit(3)) > 0), preds)
+    return rounded(out.select("id", F.get("features", 0).alias("x"), "label", "pred", "lacks"), "x")
+
+
+@query("SELECT * FROM " + ", ".join(f"({ORACLE_SQL[name]}) t_{name}" for name in ("agreement_pct", "purity", "mcr_f1", "ari", "nmi", "calinski_harabasz")))
+def evaluation_bundle(spark, sf):
+    out = evaluate.bundle(_clusterings(spark, sf), 3)
+    return rounded(rounded(out, "agreement", "purity", "mcr", "macro_f1", "ari", "nmi"), "calinski_harabasz", digits=4)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS src, " + ", ".join(f'CAST(n_regionkey = {i} AS INT) AS "{i}"' for i in range(5)) + " FROM nation")
+def adjacency_matrix(spark, sf):
+    n = views.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
+    return graph.adjacency_matrix(n, 5)
+
+
+@query("SELECT CAST(100000 AS BIGINT) AS n, CAST(100000 AS BIGINT) AS places, true AS inside, true AS spread")
+def random_ints_law(spark, sf):
+    v = linalg.random_ints(spark, 100_000, 1000)
+    share = F.abs(F.avg("value") - 499.5) < 5
+    return v.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("idx").alias("places"), ((F.min("value") >= 0) & (F.max("value") < 1000)).alias("inside"), share.alias("spread"))
+
+
+@query()
+def gmm_experiment(spark, sf):
+    return experiment.run(spark, _start(2), 2000, 3, _place(spark, "experiment"))
+
+
 @query(f"WITH {TRIPS_SQL}, x AS (SELECT s, t, min(w) AS w FROM e GROUP BY 1, 2) SELECT s AS src, string_agg(t || ':' || w, ',' ORDER BY t) AS neighbours FROM x GROUP BY 1")
 def weighted_adjacency(spark, sf):
     e = graph.collapse(graph.undirect(views.trips(spark, sf)))

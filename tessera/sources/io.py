@@ -157,6 +157,56 @@ def read_rank_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("procs int, run int, rank int, seconds double").csv(path)
 
 
+# Fixed value: the line that ends a block of a timing log.
+BLOCK_END = "-" * 44
+
+
+def write_rank_blocks(timings: DataFrame, path: str) -> None:
+    """A block of text for each run of ``(procs, run, rank, seconds)``: a line per process, their maximum and mean."""
+    line = F.format_string(" Process %d: %s seconds", F.col("r.rank"), F.col("r.seconds").cast("string"))
+    rows = timings.select("procs", "run", F.struct("rank", "seconds").alias("r"), line.alias("line"))
+    runs = rows.groupBy("procs", "run").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("lines"), F.max("r.seconds").alias("most"), F.avg("r.seconds").alias("mean"))
+    head = F.format_string("Execution with %d processors", F.col("procs"))
+    tail = F.format_string("Maximum Time: %s seconds\nAverage Time Per Process: %s seconds\n", F.col("most").cast("string"), F.col("mean").cast("string"))
+    text = F.concat_ws("\n", head, F.array_join(F.transform("lines", lambda v: v["line"]), "\n"), tail)
+    runs.select(text.alias("value")).write.mode("append").option("lineSep", f"{BLOCK_END}\n").text(path)
+
+
+def read_rank_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``(procs, run, rank, seconds)`` of such a log: a record is a block, so long files split; run numbers tell blocks apart, with gaps."""
+    blocks = spark.read.option("lineSep", BLOCK_END).text(path).select(F.regexp_extract("value", r"Execution with (\d+) processors", 1).alias("procs"), "value").where("procs <> ''")
+    line = rf"Process (\d+):\s*({NUMBER})\s*seconds"
+    part = lambda k: F.regexp_extract_all("value", F.lit(line), F.lit(k))
+    rows = blocks.select(F.col("procs").cast("int").alias("procs"), F.monotonically_increasing_id().alias("run"), F.arrays_zip(part(1).alias("rank"), part(2).alias("seconds")).alias("rows"))
+    return rows.select("procs", "run", F.explode("rows").alias("r")).select("procs", "run", F.col("r.rank").cast("int").alias("rank"), F.col("r.seconds").cast("double").alias("seconds"))
+
+
+def report_lines(metrics: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Lines of a performance report, of ``(metric, value, unit)`` and ``(bucket, size, seconds)``."""
+    one = metrics.select(F.rtrim(F.format_string("  %s: %s %s", "metric", F.col("value").cast("string"), F.coalesce("unit", F.lit("")))).alias("value"))
+    return one.unionByName(buckets.select(F.format_string("  %d | %d | %s", "bucket", "size", F.col("seconds").cast("string")).alias("value")))
+
+
+def write_report(metrics: DataFrame, buckets: DataFrame, path: str) -> None:
+    report_lines(metrics, buckets).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(metric, value, unit)`` and ``(bucket, size, seconds)`` of a performance report; other lines are skipped."""
+    lines = spark.read.text(path)
+    metric = rf"^\s*([^:|]+):\s*({NUMBER})\s*(\S*)\s*$"
+    bucket = rf"^\s*(\d+)\s*\|\s*(\d+)\s*\|\s*({NUMBER})\s*$"
+    part = lambda pattern, k: F.regexp_extract("value", pattern, k)
+    metrics = lines.where(F.col("value").rlike(metric)).select(F.trim(part(metric, 1)).alias("metric"), part(metric, 2).cast("double").alias("value"), part(metric, 3).alias("unit"))
+    buckets = lines.where(F.col("value").rlike(bucket)).select(part(bucket, 1).cast("long").alias("bucket"), part(bucket, 2).cast("long").alias("size"), part(bucket, 3).cast("double").alias("seconds"))
+    return metrics, buckets
+
+
+def read_delta_timings(spark: SparkSession, path: str) -> DataFrame:
+    """Seconds of runs by bucket width, of a CSV with a header and the columns in this order."""
+    return spark.read.schema("delta long, total double, kernel double, transfer double, buckets double, iterations int, result string").option("header", True).csv(path)
+
+
 def write_messages(messages: DataFrame, path: str) -> None:
     """``(rank, value)`` in order of rank, as one file (a row per rank)."""
     messages.orderBy("rank").coalesce(1).select("value").write.mode("overwrite").text(path)
