@@ -216,6 +216,11 @@ def least_shared(n: Column, num: int, den: int) -> Column:
     return F.least(F.lit(SHARED), F.ceil(n * num / den))
 
 
+def as_links(known: DataFrame) -> DataFrame:
+    """Links that connect what ``known`` has in one component."""
+    return known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def with_component(matrix: DataFrame, known: DataFrame) -> DataFrame:
     told = matrix.join(known.withColumnRenamed("node", "rec"), "rec", "left")
     return cut(told.select("token", "rec", "n", "grp", F.coalesce("component", "rec").alias("comp")), "told")
@@ -265,12 +270,12 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     first = inside.select("grp", F.lit(0).cast("long").alias("salt"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_query"), "rec", "tokens")
     near = cut(open_groups(first, num, den), "links")
     # each record with the pivots of its rare tokens: one row a token and record, whatever the size of a family
-    links = near
+    known = components(near)
     for step in range(PASSES):
-        links = links.unionByName(pivot_links(docs, grouped, matrix, components(links), step, k, num, den))
+        known = components(as_links(known).unionByName(pivot_links(docs, grouped, matrix, known, step, k, num, den)))
         release(docs.sparkSession)
     # queries that share rare tokens with a group of another component
-    told = with_component(matrix, components(links))
+    told = with_component(matrix, known)
     mixed = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     asks = told.join(mixed, "token")
     holds = asks.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
@@ -284,7 +289,7 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     lacks = sum((F.bit_count(F.col(w).bitwiseAND(F.bitwise_not(f"u{w}"))) for w in WORDS), F.lit(0))
     bounded = probes.join(grouped.select("rec", "n", *WORDS), "rec").join(unions, "grp").where((F.col("n") - lacks) * den >= F.col("n") * num)
     probes = cut(bounded.select("rec", "grp"), "open")
-    return links.unionByName(probed(docs, grouped, grouped.select("grp", "rec"), probes, k, num, den))
+    return as_links(known).unionByName(probed(docs, grouped, grouped.select("grp", "rec"), probes, k, num, den))
 
 
 def record_components(docs: DataFrame, k: int, num: int, den: int, one_document: bool) -> DataFrame:
