@@ -14,6 +14,10 @@ from tessera.lineage import discard, release, scratch_dir, ship
 
 __all__ = ["cut", "discard", "flat_bytes", "kept", "map_arrow", "read", "release", "scratch_dir", "ship", "slices", "steps"]
 
+#: Bytes of an Arrow batch, unless the session names its own bound: executors hold a batch in Python and twice outside the heap.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 _open: list[list[DataFrame]] = []
 
 
@@ -81,8 +85,13 @@ def begin(stage: str) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow``; the package goes to the executors first, and a task that ends leaves no memory behind."""
+    """``df.mapInArrow``; the package goes to the executors first, and a task that ends leaves no memory behind.
+
+    Sets the session's bound of an Arrow batch to ``BATCH_BYTES`` where the session has not set one.
+    """
     ship(df.sparkSession)
+    if BATCH not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
     stage = uuid.uuid4().hex
 
     def task(batches):
