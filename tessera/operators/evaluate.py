@@ -114,41 +114,141 @@ def calinski_harabasz(rows: DataFrame, d: int) -> DataFrame:
     return one.select((F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 
 
-def silhouette(rows: DataFrame, d: int, block: int = 1024) -> DataFrame:
+#: Tiles that a silhouette's points are dealt to unless they get too large; points times clusters of a tile.
+TILES, CELLS = 24, 1 << 20
+
+
+class _Tile:
+    """Points of a tile with their summed distances to each cluster; of points with an id also how many rows have that id."""
+
+    def __init__(self, clusters: np.ndarray, pred: np.ndarray, x: np.ndarray, rows: np.ndarray, who: np.ndarray, known: np.ndarray):
+        self.clusters, self.at, self.x, self.rows, self.who, self.known = clusters, np.searchsorted(clusters, pred), x, rows, who, known
+        self.xx = (x * x).sum(axis=1)
+        self.lifted = np.column_stack([x, self.xx, np.ones(len(x))])
+        self.totals, self.own = np.zeros((len(x), len(clusters))), np.zeros((len(x), len(clusters)), np.int64)
+
+    def meet(self, pred: np.ndarray, x: np.ndarray, rows: np.ndarray, who: np.ndarray, known: np.ndarray, wide: int = 1024, high: int = 64) -> None:
+        """Add the distances to other points, in pieces that stay in the processor's cache."""
+        for j in range(0, len(x), wide):
+            there = slice(j, min(j + wide, len(x)))
+            y, times, q = np.ascontiguousarray(x[there].T), rows[there].astype(float), np.searchsorted(self.clusters, pred[there])
+            yy = (y * y).sum(axis=0)
+            lifted = np.vstack([-2 * y, np.ones(len(q)), yy])
+            ends = np.append(np.flatnonzero(q[1:] != q[:-1]) + 1, len(q)).tolist()
+            spans = list(zip([0, *ends], ends, strict=False))
+            far = np.empty((high, len(q)))
+            for i in range(0, len(self.x), high):
+                here = slice(i, min(i + high, len(self.x)))
+                piece = far[: here.stop - i]
+                np.matmul(self.lifted[here], lifted, out=piece)
+                self.refine(piece, self.x[here], y, 1e-6 * (self.xx[here].max() + yy.max()))
+                np.sqrt(piece, out=piece)
+                own = self.known[here, None] & known[there] & (self.who[here, None] == who[there]) if known[there].any() else None
+                if own is not None:
+                    piece[own] = 0
+                for begin, end in spans:
+                    self.totals[here, q[begin]] += piece[:, begin:end] @ times[begin:end]
+                    if own is not None:
+                        self.own[here, q[begin]] += own[:, begin:end] @ rows[there][begin:end]
+
+    @staticmethod
+    def refine(squares: np.ndarray, x: np.ndarray, y: np.ndarray, poor: float) -> None:
+        """Small squared distances lose their digits in a product of matrices: those are made from differences."""
+        if np.isfinite(poor) and squares.min() > poor:
+            return
+        i, j = np.nonzero(~(squares > poor))
+        if np.isfinite(poor) and len(i) * 8 < squares.size:
+            squares[i, j] = ((x[i] - y.T[j]) ** 2).sum(axis=1)
+            return
+        squares[:] = 0
+        for k in range(len(y)):
+            squares += (x[:, k, None] - y[k]) ** 2
+
+    def score(self, sizes: np.ndarray) -> float:
+        """The summed silhouettes of the tile's ids; sizes: rows of each cluster."""
+        n = sizes - self.own
+        n[~self.known, self.at[~self.known]] -= 1
+        mine = np.arange(len(self.clusters)) == self.at[:, None]
+        sums, times, ids = self.totals, self.rows, np.arange(len(n))
+        if self.known.any():
+            # rows with one id and cluster have one mean, and the id the largest or least of them
+            place = np.arange(len(n))
+            keys, unit = np.unique(np.column_stack([self.known, np.where(self.known, self.who, place), np.where(self.known, self.at, 0)]), axis=0, return_inverse=True)
+            weight = np.where(self.known, self.rows, 1)[:, None]
+            sums, counts, first, times = np.zeros((len(keys), len(sizes))), np.zeros((len(keys), len(sizes)), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
+            np.add.at(sums, unit, self.totals * weight)
+            np.add.at(counts, unit, n * weight)
+            first[unit] = place
+            times[unit] = np.where(self.known, 1, self.rows)
+            n, mine, ids = counts, mine[first], np.unique(keys[:, :2], axis=0, return_inverse=True)[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            means = sums / n
+            a, b = np.full(ids.max() + 1, -np.inf), np.full(ids.max() + 1, np.inf)
+            np.maximum.at(a, ids, np.where(mine & (n > 0), means, -np.inf).max(axis=1))
+            np.minimum.at(b, ids, np.where(~mine & (n > 0), means, np.inf).min(axis=1))
+            last = np.ones(len(a), np.int64)
+            last[ids] = times
+            s = np.where((a == -np.inf) | (b == np.inf), 0, (b - a) / np.maximum(a, b))
+        return float((s * last).sum())
+
+
+def silhouette(rows: DataFrame, d: int, block: int = 1 << 17) -> DataFrame:
     """Mean silhouette (Euclidean), exact, of any number of rows ``(id, pred, features)``: the first d features count.
 
-    The distances of all pairs are its definition; they are summed per row and cluster in pairs of blocks of rows, so
-    what a task holds and what is exchanged (rows times clusters) stays bounded, while the work is quadratic.
+    Rows without an id do not count; an id without a cluster or one of its features has the silhouette 0 and is in no
+    other's mean; distances between rows of one id are left out; of fewer than two ids the result is null.
+
+    Rows of one cluster and place are one point with a number of rows. The distances of all pairs of points are the
+    definition, so the work is quadratic. Points are dealt to tiles of at most ``block``, and all points stream past
+    each tile: a task holds one tile, a point travels once a tile (some ``TILES`` times), and a tile gives one row.
     """
     ship(rows.sparkSession)
-    parts = max(1, -(-rows.count() // block))
-    keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("at"), F.struct(F.col("id").cast("long").alias("id"), F.col("pred").cast("long").alias("pred"), F.slice("features", 1, d).alias("x")).alias("r"))
-    blocks = cut(keyed.groupBy("at").agg(F.collect_list("r").alias("rows")), "blocks")
-    pairs = blocks.select(F.col("rows").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("at")).join(blocks, "at").select("mine", "rows")
-
-    def table(cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = cell.values
-        x = np.asarray(v.field("x").flatten(), float).reshape(len(v), -1)
-        return np.asarray(v.field("id")), np.asarray(v.field("pred")), x
+    named = rows.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("pred").cast("long").alias("pred"), F.transform(F.slice("features", 1, d), lambda v: v.cast("double")).alias("x"))
+    again = cut(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    repeats = again.agg(F.sum(F.col("n") - 1).alias("n")).first()["n"] or 0
+    ids = named.count() - repeats
+    whole = named.where(f"pred is not null and size(x) = {d} and not exists(x, v -> v is null)")
+    owned = whole.join(again.select("id", F.col("id").alias("who")), "id", "left") if repeats else whole.withColumn("who", F.lit(None).cast("long"))
+    points = cut(owned.groupBy("pred", "x", "who").agg(F.count(F.lit(1)).alias("rows")), "points")
+    per = sorted(points.groupBy("pred").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("points"), F.array(*[F.sum(F.get("x", k)) for k in range(d)]).alias("sums")).collect())
+    count = sum(r["points"] for r in per)
+    clusters, sizes = (np.array([r[c] for r in per], np.int64) for c in ("pred", "rows"))
+    centre = np.array([r["sums"] for r in per], float).reshape(-1, d).sum(axis=0) / max(count, 1)
+    side = min(max(-(-count // TILES), 256), block, max(1, CELLS // max(1, len(per))))
+    tiles = max(1, -(-count // side))
 
     def run(batches):
+        key, members, tile = None, [], None
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, _, x = table(batch.column("mine")[k])
-                others, preds, y = table(batch.column("rows")[k])
-                far = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0))
-                own = ids[:, None] == others[None, :]
-                far[own] = 0
-                for q in np.unique(preds):
-                    on = preds == q
-                    n = on.sum() - own[:, on].sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), q)), pa.array(far[:, on].sum(axis=1)), pa.array(n)], ["id", "q", "total", "n"])
-
-    sums = pairs.mapInArrow(run, "id long, q long, total double, n long").groupBy("id", "q").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
-    far = sums.join(rows.select(F.col("id").cast("long").alias("id"), F.col("pred").cast("long").alias("p")), "id").withColumn("m", F.col("total") / F.col("n"))
-    per = far.groupBy("id").agg(F.max(F.when(F.col("p") == F.col("q"), F.col("m"))).alias("a"), F.min(F.when(F.col("p") != F.col("q"), F.col("m"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(s).alias("silhouette"))
+            at, pred, times, who = (np.asarray(batch.column(c).fill_null(0)) for c in ("tile", "pred", "rows", "who"))
+            known, other = np.asarray(batch.column("who").is_valid()), np.asarray(batch.column("other"))
+            x = np.asarray(batch.column("x").flatten(), float).reshape(-1, d) - centre
+            change = np.flatnonzero((at[1:] != at[:-1]) | (other[1:] != other[:-1])) + 1
+            for begin, end in zip([0, *change], [*change, len(at)], strict=True):
+                if begin == end:
+                    continue
+                if key != at[begin]:
+                    if tile:
+                        yield pa.RecordBatch.from_arrays([pa.array([tile.score(sizes)])], ["s"])
+                    key, members, tile = at[begin], [], None
+                part = [v[begin:end] for v in (pred, x, times, who, known)]
+                if not other[begin]:
+                    members.append(part)
+                    continue
+                if members:
+                    tile, members = _Tile(clusters, *map(np.concatenate, zip(*members, strict=True))), []
+                if tile:
+                    tile.meet(*part)
+        if tile:
+            yield pa.RecordBatch.from_arrays([pa.array([tile.score(sizes)])], ["s"])
+
+    # an id's rows are in one tile
+    home = F.pmod(F.when(F.col("who").isNull(), F.xxhash64("pred", "x")).otherwise(F.xxhash64("who")), F.lit(tiles)).cast("int")
+    mine = points.select(home.alias("tile"), F.lit(False).alias("other"), "pred", "x", "rows", "who")
+    others = points.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(True).alias("other"), "pred", "x", "rows", "who")
+    dealt = mine.unionByName(others).repartitionByRange(tiles, "tile").sortWithinPartitions("tile", "other", "pred")
+    sums = dealt.mapInArrow(run, "s double").agg(F.sum("s").alias("s"))
+    return sums.select(F.when(F.lit(ids > 1), F.coalesce("s", F.lit(0.0)) / F.lit(float(max(ids, 1)))).alias("silhouette"))
 
 
 def hungarian(cost: np.ndarray) -> list[int]:
