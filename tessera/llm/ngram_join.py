@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, map_arrow, read, release, slices, steps
+from .shared import cut, discard, map_arrow, read, release, slices, steps
 from .shingles import mix, shingle_sets
 
 #: Members of a group, queries that meet it in one task, pivots of a kind, buckets of the frequency sketch.
@@ -41,7 +41,8 @@ PASSES = 2
 #: Places of a bitmap of tokens (a power of two, and of longs).
 BITS = 1024
 WORDS = [f"b{i}" for i in range(BITS // 64)]
-#: Records whose keys are sent to every task that reads texts (some 24 bytes each); more of them meet the texts in an exchange.
+#: Records whose keys are sent to every task that reads texts (some 70 bytes each, and 40 for each group that a record goes to,
+#: two on the average at most); more of them meet the texts in an exchange.
 SENT = 500_000
 
 _U = np.uint64
@@ -112,9 +113,10 @@ def same_text(a: Column, b: Column, h: Column, g: Column) -> Column:
     return a.eqNullSafe(b) & (h == g)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(rec, tokens)`` of the wanted records ``(rec, doc_id, h)``: all hashes of their sets, as bytes.
+def full_sets(docs: DataFrame, grouped: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``asked`` (grp, salt, is_query, rec) with the ``tokens`` of each record: all hashes of its set, as bytes.
 
+    Where a record goes travels with its key to the text, so that sets are exchanged once, by group, and never written.
     A row that repeats gives its set once a task at least.
     """
 
@@ -124,13 +126,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             recs = part.column("rec").to_pylist()
             fresh = [i for i, r in enumerate(recs) if r not in given and not given.add(r)]
             part = part.take(pa.array(fresh, pa.int64())) if len(fresh) < len(recs) else part
-            yield pa.RecordBatch.from_arrays([part.column("rec"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), k)], pa.binary())], ["rec", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("to"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), k)], pa.binary())], ["rec", "to", "tokens"])
 
-    wanted = cut(wanted, "wanted").select("rec", F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    places = asked.groupBy("rec").agg(F.collect_list(F.struct("grp", "salt", "is_query")).alias("to"))
+    wanted = cut(places.join(grouped.select("rec", "doc_id", "h"), "rec"), "wanted").select("rec", "to", F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    much = wanted.agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("to")).alias("places")).first()
+    wanted = F.broadcast(wanted) if much["records"] <= SENT and (much["places"] or 0) <= 2 * SENT else wanted
     rows = _rows(docs).where("text <> ''")
-    met = rows.join(wanted, same_text(rows["doc_id"], wanted["_d"], rows["h"], wanted["_h"])).select("rec", "text")
-    return map_arrow(met, run, "rec long, tokens binary")
+    met = rows.join(wanted, same_text(rows["doc_id"], wanted["_d"], rows["h"], wanted["_h"])).select("rec", "to", "text")
+    made = map_arrow(met, run, "rec long, to array<struct<grp: long, salt: long, is_query: boolean>>, tokens binary")
+    return made.select(F.explode("to").alias("to"), "rec", "tokens").select("to.grp", "to.salt", "to.is_query", "rec", "tokens")
 
 
 class Forest:
@@ -180,20 +185,32 @@ class Group:
         return [self.ids[i] for i in np.flatnonzero(good & (shared > 0))]
 
 
-def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+def open_groups(rows: DataFrame, num: int, den: int, inside: bool = False) -> DataFrame:
     """Links ``(a, b)`` of ``(grp, salt, is_query, rec, tokens)``: each query against the members of its group.
 
     Members of a group come before its queries and stay in memory (a bounded number); queries stream past them.
+    inside: there are no other queries than the members, which travel once.
     """
     dealt = rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "is_query")
 
+    def within(members):
+        if len(members) > 1:
+            group, forest = Group(list(members.items())), Forest()
+            for rec, tokens in members.items():
+                yield from ((rec, other) for other in group.links(tokens, num, den) if other != rec and forest.join(rec, other))
+
+    def links(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
     def run(batches):
         key, members, group, forest = None, {}, None, Forest()
         for batch in batches:
-            a, b = [], []
+            found = []
             columns = [batch.column(c).to_pylist() for c in ("grp", "salt", "is_query", "rec")]
             for grp, salt, is_query, rec, tokens in zip(*columns, batch.column("tokens"), strict=True):
                 if key != (grp, salt):
+                    if inside:
+                        found += within(members)
                     key, members, group, forest = (grp, salt), {}, None, Forest()
                 if not is_query:
                     members[rec] = np.frombuffer(tokens.as_py(), np.uint64)
@@ -204,9 +221,10 @@ def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
                     group = Group(list(members.items()))
                 for other in group.links(np.frombuffer(tokens.as_py(), np.uint64), num, den):
                     if other != rec and forest.join(rec, other):
-                        a.append(rec)
-                        b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        found.append((rec, other))
+            yield links(found)
+        if inside:
+            yield links(list(within(members)))
 
     return map_arrow(dealt.select("grp", "salt", "is_query", "rec", "tokens"), run, "a long, b long")
 
@@ -231,9 +249,7 @@ def probed(docs: DataFrame, grouped: DataFrame, members: DataFrame, probes: Data
     asked = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("salts"))
     first = members.join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_query"), "rec")
     queries = probes.join(asked, "grp").select("grp", F.pmod(F.xxhash64("rec"), F.col("salts")).alias("salt"), F.lit(True).alias("is_query"), "rec")
-    both = cut(first.unionByName(queries), "asked")
-    wanted = grouped.select("rec", "doc_id", "h").join(both.select("rec").distinct(), "rec", "left_semi")
-    return open_groups(both.join(cut(full_sets(docs, wanted, k), "sets"), "rec"), num, den)
+    return open_groups(full_sets(docs, grouped, first.unionByName(queries), k), num, den)
 
 
 def pivot_links(docs: DataFrame, grouped: DataFrame, matrix: DataFrame, known: DataFrame, step: int, k: int, num: int, den: int) -> DataFrame:
@@ -248,6 +264,7 @@ def pivot_links(docs: DataFrame, grouped: DataFrame, matrix: DataFrame, known: D
     fits = (F.col("comp") != F.col("c")) & (F.greatest("n", "m") * num <= small * den)
     shares = told.join(pivots, "token").where(fits).groupBy("rec", "to").agg(F.count(F.lit(1)).alias("shared"), F.min(small).alias("small"))
     probes = cut(shares.where(F.col("shared") >= least_shared(F.col("small"), num, den)).select("rec", F.col("to").alias("grp")), "probes")
+    discard(told)
     members = probes.select("grp", F.col("grp").alias("rec")).distinct()
     return cut(probed(docs, grouped, members, probes, k, num, den), "links")
 
@@ -257,18 +274,18 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     kinds = cut(records.groupBy("kind").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "kinds")
     block = F.pmod(F.xxhash64("rec"), F.ceil(F.col("size") / GROUP))
     grouped = cut(records.join(kinds, "kind", "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("grp", F.xxhash64("kind", block)), "grouped")
-    tokens = grouped.select("rec", "n", "grp", F.explode("prefix").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("token")
-    matrix = cut(tokens.join(shared, "token").select("token", "rec", "n", "grp"), "matrix")
+    tokens = grouped.select("rec", "n", "grp", F.explode("prefix").alias("token"))
+    # a window over all rows of a token: the rows are exchanged once
+    ends = Window.partitionBy("token")
+    matrix = cut(tokens.select("token", "rec", "n", "grp", F.min("rec").over(ends).alias("low"), F.max("rec").over(ends).alias("high")).where("low <> high").select("token", "rec", "n", "grp"), "matrix")
     release(docs.sparkSession)
     # each group with itself and with the pivots of its kind
     several = grouped.where(f"size > 1 and n * {den - num} >= {num}").select("rec", "doc_id", "h", "kind", "grp", "size")
     pivots = several.where(f"size > {GROUP}").groupBy("kind").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rec", F.lit("pivot")), F.ceil(F.col("size") / (4 * PIVOTS))) == 0, F.col("rec")))), 1, PIVOTS).alias("pivots"))
     spread = several.select("kind", "grp").distinct().join(pivots, "kind").select("grp", F.explode("pivots").alias("rec"))
-    sets = cut(full_sets(docs, several.select("rec", "doc_id", "h"), k), "sets")
-    inside = several.select("grp", "rec").unionByName(spread).distinct().join(sets, "rec")
-    first = inside.select("grp", F.lit(0).cast("long").alias("salt"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_query"), "rec", "tokens")
-    near = cut(open_groups(first, num, den), "links")
+    members = several.select("grp", "rec").unionByName(spread).distinct().select("grp", F.lit(0).cast("long").alias("salt"), F.lit(False).alias("is_query"), "rec")
+    near = cut(open_groups(full_sets(docs, grouped, members, k), num, den, inside=True), "links")
+    release(docs.sparkSession)
     # each record with the pivots of its rare tokens: one row a token and record, whatever the size of a family
     known = components(near)
     for step in range(PASSES):
@@ -289,6 +306,8 @@ def record_links(docs: DataFrame, records: DataFrame, k: int, num: int, den: int
     lacks = sum((F.bit_count(F.col(w).bitwiseAND(F.bitwise_not(f"u{w}"))) for w in WORDS), F.lit(0))
     bounded = probes.join(grouped.select("rec", "n", *WORDS), "rec").join(unions, "grp").where((F.col("n") - lacks) * den >= F.col("n") * num)
     probes = cut(bounded.select("rec", "grp"), "open")
+    discard(told)
+    release(docs.sparkSession)
     return as_links(known).unionByName(probed(docs, grouped, grouped.select("grp", "rec"), probes, k, num, den))
 
 

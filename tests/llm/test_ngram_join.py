@@ -117,3 +117,22 @@ def test_a_long_text(spark):
     words = ["w%d" % rng.randrange(10**7) for _ in range(500_000)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:480_000])), (3, " ".join(words[:300_000]))], "doc_id long, text string")
     assert {r[0]: r[2] for r in ngram_join.jaccard_components(df, 3, 9, 10).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_sets_are_exchanged_once_and_not_written(spark):
+    rng = random.Random(9)
+    base = [["w%d" % rng.randrange(10**7) for _ in range(4000)] for _ in range(12)]
+    rows = [(i, " ".join(b + ["end"] * (i % 2))) for i, b in enumerate(b for b in base for _ in range(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        found = store.stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteBytes() + s.outputBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    got = {r[0]: r[2] for r in ngram_join.jaccard_components(df, 3, 9, 10).collect()}
+    assert got == {i: i // 2 * 2 for i in range(24)}
+    sets = 24 * 4000 * 8
+    assert sum(n for k, n in stages().items() if k not in before) < 3 * sets
